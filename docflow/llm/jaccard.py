@@ -10,8 +10,9 @@ every set, only the n-grams in its range, and counts for itself:
 
 Candidates come from prefixes in the order rarest first, after which two sets within the
 threshold must share an n-gram. Groups of near copies never become all their pairs: sets
-are first linked to leaders (the least set of a min-hash group), linked sets contract to
-components, and only prefix n-grams that join different components make pairs. Equal sets
+are first linked to leaders (the least set of a min-hash group, then the nearest set of the
+largest component met), linked sets contract to components, and only prefix n-grams that
+join different components make pairs. Equal sets
 are one class from the start. No link between different sets is lost: a pair is skipped
 only if a bound proves it below the threshold or it is known to be connected.
 
@@ -35,6 +36,7 @@ WORDS, NUM, DEN = 5, 3, 4  # shingles of 5 words; similarity of 3/4 or more
 FRAGMENT_BYTES = 7 << 20  # input bytes whose n-grams one fragment counts
 PARTS = 4  # fragments in which candidate pairs are counted
 LEADERS = 4  # min-hash groups per set
+STARS = 2  # rounds that link sets to the largest component they meet, before the rest is compared in pairs
 BITMAP = 8  # 64-bit words of a set's parity bitmap
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -99,17 +101,17 @@ def _to_fragments(n: int, fragments: int):
             at, own, grams = at[order], own[order], grams[order] & _LOW48
             edge = np.searchsorted(at, np.arange(fragments + 1))
             low, high = grams.astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint16)
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for f in range(fragments):
                 lo, hi = int(edge[f]), int(edge[f + 1])
                 if lo == hi:
                     continue
                 start = np.flatnonzero(np.concatenate([[True], own[lo + 1 : hi] != own[lo : hi - 1]]))
                 mine = own[lo:hi][start]
-                for x, v in zip(out, (f, keys[mine].tobytes(), np.diff(np.append(start, hi - lo)).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()), strict=True):
+                for x, v in zip(out, (f, keys[mine].tobytes(), sizes[mine].astype(np.uint32).tobytes(), np.diff(np.append(start, hi - lo)).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()), strict=True):
                     x.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["fragment", "keys", "counts", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["fragment", "keys", "sizes", "counts", "low", "high"])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
@@ -130,65 +132,85 @@ def _to_fragments(n: int, fragments: int):
     return run
 
 
-def _count_fragment(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one fragment: each set's n-grams that another set has too, with their document frequencies."""
-    cols = {c: [np.frombuffer(x.as_buffer(), t) for x in table.column(c)] for c, t in (("keys", np.uint64), ("counts", np.uint32), ("low", np.uint32), ("high", np.uint16))}
-    keys, counts = np.concatenate(cols["keys"]), np.concatenate(cols["counts"])
-    gram = np.concatenate(cols["low"]).astype(np.uint64) | np.concatenate(cols["high"]).astype(np.uint64) << np.uint64(32)
-    del cols
-    names, of = np.unique(keys, return_inverse=True)
-    own = np.repeat(of, counts)
-    # Keep a set that came from several batches once.
-    start = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-    seen = np.zeros(len(names), np.int64)
-    seen[of[::-1]] = np.arange(len(keys))[::-1]
-    own_row = np.repeat(np.arange(len(keys)), counts)
-    once = seen[own] == own_row
-    own, gram = own[once], gram[once]
-    del own_row, once, start
-    order = np.argsort(gram, kind="stable")
-    g, o = gram[order], own[order]
-    edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    df = np.diff(np.append(edge, len(g)))
-    df = np.repeat(df, df)
-    keep = df > 1
-    g, o, df = g[keep], o[keep], df[keep]
-    order = np.argsort(o, kind="stable")
-    g, o, df = g[order], o[order], df[order]
-    edge = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
-    stop = np.append(edge[1:], len(o)) if len(edge) else edge
-    g = g | np.uint64(int(key[0].as_py())) << np.uint64(48)
-    # n-gram and frequency side by side, 12 bytes each
-    packed = np.empty(len(g), np.dtype([("g", "<u8"), ("f", "<u4")]))
-    packed["g"], packed["f"] = g, np.minimum(df, 0xFFFFFFFF)
-    blob = packed.tobytes()
-    return pa.table({"set_key": pa.array(names[o[edge]].view(np.int64) if len(edge) else [], pa.int64()), "shared": pa.array((stop - edge), pa.int32()), "grams": pa.array([blob[a * 12 : b * 12] for a, b in zip(edge.tolist(), stop.tolist(), strict=True)], pa.binary())})
+def _count_fragment(homes: int):
+    """Of one fragment: each set's n-grams that another set has too, with their document frequencies.
+
+    The answers go by set, in one row for each of `homes` ranges of set keys.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kinds = (("keys", np.uint64), ("sizes", np.uint32), ("counts", np.uint32), ("low", np.uint32), ("high", np.uint16))
+        keys, sizes, counts, low, high = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in kinds)
+        gram = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        del low, high
+        names, at, of = np.unique(keys, return_index=True, return_inverse=True)
+        row = np.repeat(np.arange(len(keys)), counts)
+        once = at[of[row]] == row  # a set that came from several batches counts once
+        own, gram = of[row[once]], gram[once]
+        del row, once
+        order = np.argsort(gram, kind="stable")
+        gram, own = gram[order], own[order]
+        edge = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        df = np.diff(np.append(edge, len(gram)))
+        df = np.repeat(df, df)
+        keep = df > 1
+        gram, own, df = gram[keep], own[keep], df[keep]
+        order = np.argsort(own, kind="stable")
+        packed = np.empty(len(order), _PACKED)
+        packed["g"], packed["f"] = gram[order] | np.uint64(key[0].as_py()) << np.uint64(48), np.minimum(df[order], 0xFFFFFFFF)
+        sets, n = np.unique(own, return_counts=True)
+        bounds = np.searchsorted(names[sets], np.array([(h << 64) // homes for h in range(1, homes)], np.uint64))
+        bounds = np.concatenate([[0], bounds, [len(sets)]])
+        start = np.concatenate([[0], np.cumsum(n)])
+        out: list[list] = [[] for _ in range(5)]
+        for h in range(homes):
+            lo, hi = int(bounds[h]), int(bounds[h + 1])
+            if lo < hi:
+                mine = sets[lo:hi]
+                for x, v in zip(out, (h, names[mine].tobytes(), sizes[at[mine]].tobytes(), n[lo:hi].astype(np.uint32).tobytes(), packed[start[lo] : start[hi]].tobytes()), strict=True):
+                    x.append(v)
+        return pa.table([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["home", "keys", "sizes", "counts", "grams"])
+
+    return run
 
 
 _PACKED = np.dtype([("g", "<u8"), ("f", "<u4")])
+_SETS = "set_key long, n long, head binary, bits binary, m long, leads array<long>, parts array<binary>"
 
 
-def _order_sets(fragments: int, num: int, den: int):
-    """Sort each set's shared n-grams rarest first; add prefix length, bitmap and leader keys, and cut it in PARTS."""
+def _gather_sets(fragments: int, num: int, den: int):
+    """Sum the fragments' counts by set; keep sets with enough shared n-grams for any partner.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            for key, n, parts in zip(K.ids_of(batch, "set_key").to_pylist(), K.ids_of(batch, "n").to_pylist(), K.ids_of(batch, "grams").to_pylist(), strict=True):
-                x = np.frombuffer(b"".join(parts), _PACKED)
-                g, f = x["g"].astype(np.uint64), x["f"]
-                prefix = n - -(-num * n // den) + 1 - (n - len(g))  # n-grams of no other set come first and are gone
-                head = g[np.lexsort((g, f))[:prefix]]
-                bits = np.zeros(BITMAP, np.uint64)
-                mixed = K.mix(g)
-                np.bitwise_xor.at(bits, (mixed & np.uint64(BITMAP - 1)).astype(np.int64), np.uint64(1) << (mixed >> np.uint64(8) & np.uint64(63)))
-                leads = [int(K.mix(g ^ K.mix(np.array([j + 1], np.uint64))).min().view(np.int64)) for j in range(LEADERS)]
-                part = (g >> np.uint64(48)) * np.uint64(PARTS) // np.uint64(fragments)
-                g = np.sort(g)
-                edge = np.searchsorted(np.sort(part), np.arange(PARTS + 1))
-                for v, y in zip((key, n, head.tobytes(), bits.tobytes(), leads, [g[edge[j] : edge[j + 1]].tobytes() for j in range(PARTS)]), rows, strict=True):
-                    y.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.list_(pa.int64())), pa.array(rows[5], pa.list_(pa.binary()))], names=["set_key", "n", "head", "bits", "leads", "parts"])
+    Those get their n-grams rarest first, hence a prefix, a parity bitmap and min-hash
+    leader keys, and are cut in PARTS ranges of the n-gram order.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        del key
+        keys, sizes, counts, packed = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("keys", np.uint64), ("sizes", np.uint32), ("counts", np.uint32), ("grams", _PACKED)))
+        names, at, of = np.unique(keys, return_index=True, return_inverse=True)
+        shared = np.bincount(of, counts, len(names)).astype(np.int64)
+        n_of = sizes[at].astype(np.int64)
+        alive = den * shared >= num * n_of
+        own = np.repeat(of, counts)
+        keep = alive[own]
+        own, packed = own[keep], packed[keep]
+        packed = packed[np.lexsort((packed["g"], own))]
+        rows: list[list] = [[] for _ in range(7)]
+        end = 0
+        for i in np.flatnonzero(alive).tolist():
+            start, end = end, end + int(shared[i])
+            g, f, n = packed["g"][start:end], packed["f"][start:end], int(n_of[i])
+            prefix = n - -(-num * n // den) + 1 - (n - len(g))  # n-grams of no other set come first and are gone
+            head = g[np.argsort(f, kind="stable")[:prefix]]
+            bits, mixed = np.zeros(BITMAP, np.uint64), K.mix(g)
+            np.bitwise_xor.at(bits, (mixed & np.uint64(BITMAP - 1)).astype(np.int64), np.uint64(1) << (mixed >> np.uint64(8) & np.uint64(63)))
+            leads = [int((mixed * np.uint64(2 * j + 1)).min().view(np.int64)) for j in range(LEADERS)]
+            edge = np.searchsorted((g >> np.uint64(48)) * np.uint64(PARTS) // np.uint64(fragments), np.arange(PARTS + 1))
+            for v, y in zip((int(names[i].view(np.int64)), n, head.tobytes(), bits.tobytes(), len(g), leads, [g[edge[j] : edge[j + 1]].tobytes() for j in range(PARTS)]), rows, strict=True):
+                y.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+        return pa.table([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["set_key", "n", "head", "bits", "m", "leads", "parts"])
 
     return run
 
@@ -229,34 +251,111 @@ def _leader_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.greatest("set_key", "m.set_key").alias("a"), F.least("set_key", "m.set_key").alias("b")).distinct()
 
 
-def _cross_pairs(num: int, den: int):
-    """Of one n-gram's sets: pairs of different components that size and bitmap bounds let pass."""
+def _by_gram(make):
+    """mapInArrow over rows sorted by gram: make(whole groups' columns, their bounds) -> pairs (a, b)."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        sets, n, label = (table.column(c).to_numpy() for c in ("set_key", "n", "label"))
-        m = table.column("m").to_numpy()  # n-grams shared with any other set
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            gram = table.column("gram").to_numpy()
+            last = int(np.searchsorted(gram, gram[-1], "left")) if len(gram) else 0
+            rest = table.slice(last)
+            if last:
+                yield from done(table.slice(0, last))
+        if rest is not None and rest.num_rows:
+            yield from done(rest)
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram, sets, n, m, label = (table.column(c).to_numpy() for c in ("gram", "set_key", "n", "m", "label"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(sets), BITMAP)
-        order = np.argsort(n, kind="stable")
-        sets, n, label, bits, m = sets[order], n[order], label[order], bits[order], m[order]
-        left, right = [], []
-        # n ascending: partners of i stand between i + 1 and the last with num * n <= den * n[i]
-        last = np.searchsorted(n * num, n * den, "right")
-        for i in range(len(sets) - 1):
-            for lo in range(i + 1, int(last[i]), 1 << 16):
-                j = slice(lo, min(lo + (1 << 16), int(last[i])))
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
-                # overlap <= (m_i + m_j - apart) / 2
-                ok = (label[j] != label[i]) & ((num + den) * (m[j] + m[i] - apart) >= 2 * num * (n[j] + n[i]))
-                hit = np.flatnonzero(ok) + lo
-                if len(hit):
-                    left.append(np.full(len(hit), sets[i]))
-                    right.append(sets[hit])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+        order = np.lexsort((sets, n, gram))
+        cols = {"set_key": sets[order], "n": n[order], "m": m[order], "label": label[order], "bits": bits[order]}
+        gram = gram[order]
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram))
+        a, b = make(cols, bounds)
+        a, b = np.maximum(a, b), np.minimum(a, b)
+        if len(a):
+            _, once = np.unique(K.mix(a.view(np.uint64)) ^ b.view(np.uint64), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], names=["a", "b"])
 
     return run
 
 
+def _near(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs (i, j) of different components the size and bitmap bounds let pass."""
+    n, m, bits = x["n"], x["m"], x["bits"]
+    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(-1).astype(np.int64)
+    ok = (x["label"][i] != x["label"][j]) & (num * np.maximum(n[i], n[j]) <= den * np.minimum(n[i], n[j]))
+    return ok & ((num + den) * (m[i] + m[j] - apart) >= 2 * num * (n[i] + n[j]))  # overlap <= (m_i + m_j - apart) / 2
+
+
+def _star_pairs(num: int, den: int, tries: int = 64):
+    """Of each n-gram's sets, those outside its most frequent component with the nearest of some sets of that component."""
+
+    def make(x: dict, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [], []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            labels, first, n = np.unique(x["label"][lo:hi], return_index=True, return_counts=True)
+            if len(labels) < 2:
+                continue
+            main = x["label"][lo:hi] == labels[np.lexsort((first, -n))[0]]
+            core, others = lo + np.flatnonzero(main), lo + np.flatnonzero(~main)
+            core = core[:: -(-len(core) // tries)]
+            for k in range(0, len(others), 4096):
+                i = others[k : k + 4096, None]
+                ok = _near(x, i, core[None, :], num, den)
+                apart = np.bitwise_count(x["bits"][i] ^ x["bits"][core[None, :]]).sum(-1).astype(np.int64)
+                best = np.where(ok, apart, 1 << 20).argmin(1)
+                hit = ok.any(1)
+                left.append(x["set_key"][i[hit, 0]])
+                right.append(x["set_key"][core[best[hit]]])
+        return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+
+    return _by_gram(make)
+
+
+def _cross_pairs(num: int, den: int):
+    """Of each n-gram's sets, all pairs of different components that the bounds let pass."""
+
+    def make(x: dict, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [], []
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            for k in range(0, len(i), 1 << 18):
+                p, q = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+                ok = _near(x, p, q, num, den)
+                left.append(x["set_key"][p[ok]])
+                right.append(x["set_key"][q[ok]])
+
+        size = np.diff(bounds)
+        end = np.repeat(bounds[1:], size)
+        short = np.repeat(size <= 64, size)
+        for d in range(1, min(64, int(size.max(initial=0)))):  # short lists, all together: every pair d places apart
+            i = np.flatnonzero(short & (np.arange(len(end)) + d < end))
+            if not len(i):
+                break
+            add(i, i + d)
+        for lo, hi in zip(bounds[:-1][size > 64].tolist(), bounds[1:][size > 64].tolist(), strict=True):
+            n = x["n"][lo:hi]
+            last = np.searchsorted(n * num, n * den, "right")  # n ascends: who may be a partner by size
+            for i in range(hi - lo - 1):
+                add(np.full(max(0, int(last[i]) - i - 1), lo + i), np.arange(lo + i + 1, lo + int(last[i])))
+        return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+
+    return _by_gram(make)
+
+
+def _meet(sets: DataFrame, links: DataFrame, make) -> DataFrame:
+    """Pairs that `make` forms of sets of different components that share a prefix n-gram."""
+    labels = components(links).withColumnRenamed("node", "set_key")
+    labelled = cut(sets.select("set_key", "n", "head").join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
+    posts = labelled.mapInArrow(_explode_heads, "gram long, set_key long, n long, label long")
+    mixed = posts.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("gram")
+    met = posts.join(mixed, "gram").join(sets.select("set_key", "bits", "m"), "set_key")
+    return met.repartition("gram").sortWithinPartitions("gram").mapInArrow(make, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Link documents whose sets of `words`-word shingles have Jaccard similarity num/den or more.
 
@@ -272,23 +371,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = source.schema["doc_id"].dataType.simpleString()
     fragments = pieces(source, FRAGMENT_BYTES, most=60_000)
     profile = cut(source.mapInArrow(_profile(words, "doc_id"), f"doc_id {id_type}, n_shingles long, set_key long"), "profile")
-    classes = profile.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
-
-    dealt = source.mapInArrow(_to_fragments(words, fragments), "fragment int, keys binary, counts binary, low binary, high binary")
-    shared = dealt.groupBy("fragment").applyInArrow(_count_fragment, "set_key long, shared int, grams binary")
-    per_set = shared.groupBy("set_key").agg(F.sum("shared").cast("long").alias("shared"), F.collect_list("grams").alias("grams"))
-    alive = per_set.join(classes.select("set_key", "n"), "set_key").filter(den * F.col("shared") >= num * F.col("n"))
-    sets = cut(alive.select("set_key", "n", "grams").mapInArrow(_order_sets(fragments, num, den), "set_key long, n long, head binary, bits binary, leads array<long>, parts array<binary>"), "sets")
-
-    led = cut(_linked(_leader_pairs(sets, num, den), sets, num, den), "links")
-    first_labels = components(led)
-    labelled = sets.join(first_labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    labelled = cut(labelled.select("set_key", "n", "label", "head"), "labels")
-    posts = labelled.mapInArrow(_explode_heads, "gram long, set_key long, n long, label long")
-    mixed = posts.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("gram")
-    extra = sets.select("set_key", "bits", F.expr("aggregate(parts, 0, (s, p) -> s + cast(length(p) / 8 as int))").cast("long").alias("m"))
-    met = posts.join(mixed, "gram").join(extra, "set_key").groupBy("gram").applyInArrow(_cross_pairs(num, den), "a long, b long").distinct()
-    links = led.unionByName(_linked(met, sets, num, den))
+    classes = profile.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+
+    dealt = source.mapInArrow(_to_fragments(words, fragments), "fragment int, keys binary, sizes binary, counts binary, low binary, high binary")
+    shared = dealt.groupBy("fragment").applyInArrow(_count_fragment(fragments), "home int, keys binary, sizes binary, counts binary, grams binary")
+    sets = cut(shared.groupBy("home").applyInArrow(_gather_sets(fragments, num, den), _SETS), "sets")
+
+    links = cut(_linked(_leader_pairs(sets, num, den), sets, num, den), "links")
+    for _ in range(STARS):
+        links = cut(links.unionByName(_linked(_meet(sets, links, _star_pairs(num, den)), sets, num, den)), "links")
+    links = links.unionByName(_linked(_meet(sets, links, _cross_pairs(num, den)), sets, num, den))
     labels = components(links)
 
     named = classes.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
