@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dpbpe import decode_ids, encode_texts
+from .heapbpe import count_tokens
 from .jaccard import jaccard_components
 from .lm import score_texts
 from .substring import remove_repeats
@@ -16,6 +18,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_documents(spark, sf_dir))
 
@@ -29,8 +37,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer("byte_bpe_50k.json")
+    out = decode_ids(encode_texts(_documents(spark, sf_dir), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_score, op4_jaccard_join, op5_substring_dedup)}
+    return {f.__name__: f for f in (op2_lm_score, op4_jaccard_join, op5_substring_dedup, op9_token_counts, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
