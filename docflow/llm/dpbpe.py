@@ -75,6 +75,8 @@ class ByteBPE:
             self.length[r] = len(b)
             self.matches.add_word(b.decode("latin-1"), r)
         self.matches.make_automaton()
+        self.whole: list[bool | None] = [None] * len(self.parts)
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(SHORT + 1)]
         self.fits: dict[int, bool] = {}
         white = f"[{WHITE}]"
         self.units = regex.compile(f"{white}*[^{WHITE}]+|{white}+").findall
@@ -82,6 +84,7 @@ class ByteBPE:
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
         self.known_units: dict[str, bytes] = {}
         self.known_words: dict[str, bytes] = {}
+        self.misses = 0
 
     @staticmethod
     def _letters(letters: dict[str, int], b: bytes) -> list[str]:
@@ -118,18 +121,27 @@ class ByteBPE:
 
     def last_tokens(self, text: str) -> list[int]:
         """Of each prefix of a pre-token (bytes as Latin-1), the rank of its encoding's last token."""
-        last, length, fits = [-1] * (len(text) + 1), self.length, self.compatible
+        last, length, known, size, whole = [-1] * (len(text) + 1), self.length, self.fits, len(self.parts), self.whole
         done = 0
         for end, rank in self.matches.iter(text):  # by end, longest first
             end += 1
             if end == done:
                 continue
             start = end - length[rank]
-            if start == 0 or (last[start] >= 0 and fits(last[start], rank)):
-                if start == 0 and not self._whole(rank):
+            if start:
+                before = last[start]
+                if before < 0:
                     continue
-                last[end] = rank
-                done = end
+                fits = known.get(before * size + rank)
+                if not (self.compatible(before, rank) if fits is None else fits):
+                    continue
+            else:
+                if whole[rank] is None:
+                    whole[rank] = self._whole(rank)
+                if not whole[rank]:
+                    continue
+            last[end] = rank
+            done = end
         return last
 
     def _whole(self, rank: int) -> bool:
@@ -150,7 +162,7 @@ class ByteBPE:
 
     def encode_word(self, text: str) -> list[int]:
         """Ids of one pre-token."""
-        raw = text.encode("utf-8").decode("latin-1")
+        raw = text if text.isascii() else text.encode("utf-8").decode("latin-1")
         last, end, out = self.last_tokens(raw), len(raw), []
         while end > 0:
             rank = last[end]
@@ -158,23 +170,36 @@ class ByteBPE:
             end -= self.length[rank]
         return out[::-1]
 
+    def _remember(self, known: dict[str, bytes], room: int, text: str, ids: bytes) -> None:
+        """The first entries stay, frequent ones among them, until mostly others come."""
+        self.misses += 1
+        if self.misses > 4 * (UNITS + WORDS):
+            self.known_units.clear()
+            self.known_words.clear()
+            self.misses = 0
+        if len(known) < room:
+            known[text] = ids
+
     def _unit(self, unit: str) -> bytes:
         out = []
-        for word in self.pretokens(unit):
+        letters = unit[1:] if unit[0] == " " else unit
+        if letters.isalpha():  # the common cases of pretokens(unit), spelt out
+            words = (unit,)
+        elif letters[:-1].isalpha() and letters[-1] in ".,":
+            words = (unit[:-1], unit[-1])
+        else:
+            words = self.pretokens(unit)
+        for word in words:
             ids = self.known_words.get(word)
             if ids is None:
                 x = self.encode_word(word)
-                ids = struct.pack(f"<{len(x)}I", *x)
+                ids = self.packs[len(x)](*x) if len(x) <= SHORT else struct.pack(f"<{len(x)}I", *x)
                 if len(word) <= SHORT:
-                    if len(self.known_words) >= WORDS:
-                        self.known_words.clear()
-                    self.known_words[word] = ids
+                    self._remember(self.known_words, WORDS, word, ids)
             out.append(ids)
         found = b"".join(out)
         if len(unit) <= SHORT:
-            if len(self.known_units) >= UNITS:
-                self.known_units.clear()
-            self.known_units[unit] = found
+            self._remember(self.known_units, UNITS, unit, found)
         return found
 
     def encode(self, text: str) -> bytes:

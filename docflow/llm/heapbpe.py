@@ -54,6 +54,7 @@ class PieceCounter:
         single = re.escape(alone)
         self.segments = re.compile(f"[{single}]|{MARK}*[^{MARK}{single}]+|{MARK}+").findall if single else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.known: dict[str, int] = {}
+        self.misses = 0
 
     def _segment(self, text: str) -> int:
         """Initial symbols minus merges of one segment."""
@@ -83,6 +84,15 @@ class PieceCounter:
                 heapq.heappush(heap, (-s, h, stop))
         return count
 
+    def _remember(self, seg: str, n: int) -> None:
+        """The first CACHE segments stay, frequent ones among them, until mostly others come."""
+        self.misses += 1
+        if self.misses > 4 * CACHE:
+            self.known.clear()
+            self.misses = 0
+        if len(self.known) < CACHE:
+            self.known[seg] = n
+
     def count(self, text: str) -> int:
         if not text:
             return 0
@@ -93,9 +103,7 @@ class PieceCounter:
             if n is None:
                 n = self._segment(seg)
                 if len(seg) <= SHORT:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[seg] = n
+                    self._remember(seg, n)
             total += n
         return total
 
