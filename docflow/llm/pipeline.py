@@ -1,8 +1,79 @@
-"""The stages of corpus_pipeline.py."""
+"""The stages of corpus_pipeline.py: documents in, packed sequences out.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns the
+columns of documents; the last returns packed pieces. n_chars follows the text.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import cut
+from .jaccard import jaccard_components
+from .lines import remove_boilerplate
+from .packing import pack_texts
+from .quality import ledger, verdict
+from .queries import tokenizer
+from .substring import remove_repeats
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _rewritten(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents' columns from `rest`, with the text that an operator kept where it removed something."""
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("rest.text"))
+    columns = {c: F.col(f"rest.`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the current policy; the others go."""
+    return ledger(docs, keep=docs.columns).filter(verdict()).select("rest.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that many sources carry; one of which nothing is left goes."""
+    out = _rewritten(remove_boilerplate(docs, carry=docs.columns), docs)
+    return out.filter(out.text.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    groups = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated passages; one of which nothing is left goes."""
+    out = _rewritten(remove_repeats(docs, carry=docs.columns), docs)
+    return out.filter(out.text.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    return pack_texts(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", passages),
+    ("packing", packing),
+]
+
+#: SQL has no byte-pair encoder; tests/llm hold the stages against brute force instead.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
