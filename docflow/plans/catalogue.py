@@ -1,19 +1,375 @@
-"""The queries that __spark_entry__ registers, with their SQL counterparts."""
+"""The queries that __spark_entry__ registers: every operator over whole tables.
+
+D queries read documents as they are; X queries read the decorated view (fixtures.py), where
+every Markdown construct occurs; index queries read one long document per source.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docflow.functions import text as T
+from docflow.operators import cleanup as C
+from docflow.operators import grid, index, layout, media, queue
+from docflow.operators import lines as L
+from docflow.sources import files
+
+from . import oracle
+from .fixtures import by_source, documents, md_docs
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _long(name: str):
+    return F.col(name).cast("long").alias(name)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """The headings of each source's documents, as the navigation index lists them."""
+    return headings_dedup(spark, sf_dir)
+
+
+def index_render(spark, d):
+    return index.render_index(by_source(spark, d))
+
+
+# --- lines ----------------------------------------------------------------------------
+
+
+def line_explode(spark, d):
+    return L.to_lines(documents(spark, d)).select("doc_id", "line_no", "line")
+
+
+def line_rejoin(spark, d):
+    return L.from_lines(L.to_lines(documents(spark, d)))
+
+
+def fence_state(spark, d):
+    return L.with_fence(L.to_lines(md_docs(spark, d))).select("doc_id", "line_no", "in_fence")
+
+
+def frontmatter_end(spark, d):
+    return L.with_front_matter(L.to_lines(md_docs(spark, d))).select("doc_id", "fm_end").distinct()
+
+
+def skip_lines(spark, d):
+    return L.with_skip(L.to_lines(md_docs(spark, d))).groupBy("doc_id").agg(F.count_if("skip").alias("n_skipped"))
+
+
+# --- clean-up -------------------------------------------------------------------------
+
+
+def _dropped(flagged: DataFrame, flag: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.when(~F.col(flag), F.struct("line_no", "line"))))
+    return flagged.groupBy("doc_id").agg(F.count_if(flag).alias("n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+
+
+def strip_headers_footers(spark, d):
+    return _dropped(C.running_lines(L.to_lines(documents(spark, d))), "boiler")
+
+
+def strip_page_numbers(spark, d):
+    return _dropped(C.page_number_lines(L.to_lines(md_docs(spark, d))), "page_no")
+
+
+def strip_empty_headings(spark, d):
+    return C.strip_empty_headings(md_docs(spark, d)).select("doc_id", "altered", "text")
+
+
+def _rule(rule: str) -> Query:
+    def run(spark, d):
+        n = F.sum(f"n_{rule}").cast("long").alias("n")
+        out = dict(C.RULES)[rule](L.with_skip(L.to_lines(md_docs(spark, d))))
+        if "dead" in out.columns:
+            return _dropped(out, "dead")
+        return L.from_lines(out, "doc_id", n).select("doc_id", "n", "text")
+
+    return run
+
+
+def lint_md047(spark, d):
+    out = md_docs(spark, d).withColumn("new", C.final_newline("text"))
+    return out.select("doc_id", (F.col("new") != F.col("text")).cast("long").alias("n"), F.col("new").alias("text"))
+
+
+def lint_all(spark, d):
+    """R18, and the worker's order before it: C1, C2, C3."""
+    first = C.strip_empty_headings(md_docs(spark, d)).select("doc_id", "text")
+    rows = C.strip_page_numbers(L.renumber(C.strip_headers_footers(L.to_lines(first))))
+    out = C.lint(L.from_lines(L.renumber(rows)))
+    return out.select("doc_id", "text", F.to_json("fixes").alias("fixes"))
+
+
+def lint_counts(spark, d):
+    """R18 alone: the count of each rule over the corpus."""
+    out = C.lint(md_docs(spark, d)).select(F.explode("fixes").alias("rule", "n"))
+    return out.groupBy("rule").agg(F.sum("n").alias("n"))
+
+
+def fix_totals(spark, d):
+    out = C.one_rule(L.to_lines(md_docs(spark, d)), "md010")
+    return out.groupBy((F.col("doc_id") % 10).alias("shard")).agg(F.sum("n_md010").cast("long").alias("n"))
+
+
+# --- index ----------------------------------------------------------------------------
+
+
+def boilerplate_lines(spark, d):
+    out = index.boilerplate(L.to_lines(documents(spark, d))).filter("boiler")
+    return out.groupBy("doc_id", "bare").agg(F.count("*").alias("n"))
+
+
+def headings(spark, d):
+    return index.headings(L.to_lines(by_source(spark, d)))
+
+
+def headings_dedup(spark, d):
+    return index.dedupe_headings(headings(spark, d))
+
+
+def endpoints(spark, d):
+    return index.endpoints(L.to_lines(by_source(spark, d)))
+
+
+def endpoint_groups(spark, d):
+    members = F.array_join(F.transform("members", lambda m: F.concat(m["method"], F.lit(" "), m["path"], F.lit(" "), m["line_no"])), ";")
+    return index.endpoint_groups(endpoints(spark, d)).select("doc_id", "grp", "place", members.alias("members"))
+
+
+def index_gate(spark, d):
+    return by_source(spark, d).select("doc_id", index.should_index("text").alias("should_index"))
+
+
+def line_predicates(spark, d):
+    return line_explode(spark, d).select("doc_id", "line_no", index.looks_like_code("line").alias("code"), layout.heading_worthy("line").alias("worthy"))
+
+
+# --- tables and pages -----------------------------------------------------------------
+
+
+def table_markdown(spark, d):
+    """A grid of each region's nations."""
+    head = _table(spark, d, "region").select(F.col("r_regionkey").alias("region"), F.lit(-1).alias("i"), F.array(F.lit("key"), F.col("r_name")).alias("r"))
+    rows = _table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("i"), F.array(F.col("n_nationkey").cast("string"), "n_name").alias("r"))
+    packed = head.unionByName(rows).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("x"))
+    cells = F.transform("x", lambda r: r["r"])
+    return packed.select("region", grid._let(grid.drop_empty_columns(grid.drop_empty_rows(grid.normalise(cells))), lambda g: F.when(grid.looks_like_table(g), grid.to_markdown(g))).alias("markdown"))
+
+
+def table_clean(spark, d):
+    """T8 on grids with empty cells, pipes and long cells made of documents' words."""
+    words = F.slice(F.split("text", " "), 1, 24)
+    cell = lambda i: F.when((F.col("doc_id") + i) % 3 == 0, F.lit("")).when((F.col("doc_id") + i) % 11 == 0, F.concat(F.get(words, i), F.lit("|x"))).otherwise(F.get(words, i))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: cell(r * 4 + c)))
+    return documents(spark, d).select("doc_id", grid.clean_table(rows).alias("markdown"))
+
+
+def body_font_size(spark, d):
+    """P1 with quantities in the part of font sizes."""
+    rows = _table(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return layout.body_sizes(rows, "l_suppkey", "l_quantity", "at")
+
+
+def heading_levels(spark, d):
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", layout.heading_level(F.col("l_quantity") / 20.0).alias("level"))
+
+
+def synthetic_pages(spark, d) -> DataFrame:
+    """Pages laid out from documents: one text line per line, larger ones now and then, a table and an image on some."""
+    lines = F.transform(F.split("text", "\n", -1), lambda s, i: F.struct(s.alias("text"), (i * 12 + 10).cast("double").alias("top"), (i * 12 + 20).cast("double").alias("bottom"), F.array(F.when(i % 7 == 0, 18.0).when(i % 5 == 0, 14.5).otherwise(10.0)).alias("sizes")))
+    rows = F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("1"), F.lit("2")))
+    none = lambda kind: F.array().cast(kind)
+    table_kind = "array<struct<x0: double, top: double, x1: double, bottom: double, rows: array<array<string>>>>"
+    image_kind = "array<struct<xref: int, y: double, width: int, height: int>>"
+    table = F.array(F.struct(F.lit(0.0).alias("x0"), F.lit(33.0).alias("top"), F.lit(100.0).alias("x1"), F.lit(45.0).alias("bottom"), rows.alias("rows"))).cast(table_kind)
+    image = F.array(F.struct((F.col("doc_id") % 9).cast("int").alias("xref"), F.lit(21.0).alias("y"), (F.col("doc_id") % 6).cast("int").alias("width"), F.lit(8).alias("height"))).cast(image_kind)
+    return documents(spark, d).select(
+        F.col("doc_id").alias("page"),
+        (F.col("doc_id") - F.col("doc_id") % 3).alias("doc_id"),
+        (F.col("doc_id") % 3).cast("int").alias("page_index"),
+        F.lit(600.0).alias("width"),
+        (F.size(lines) * 12 + 20.0).alias("height"),
+        F.array(F.lit(10.0), F.lit(10.0), F.lit(18.0)).alias("char_sizes"),
+        "text",
+        (F.col("doc_id") % 2).cast("int").alias("n_images"),
+        lines.alias("text_lines"),
+        F.when(F.col("doc_id") % 4 == 0, table).otherwise(none(table_kind)).alias("tables"),
+        F.when(F.col("doc_id") % 2 == 0, image).otherwise(none(image_kind)).alias("images"),
+    )
+
+
+def page_layout(spark, d):
+    """P1-P3, P5-P7 on synthetic pages."""
+    return layout.document_markdown(layout.page_markdown(synthetic_pages(spark, d), markers=True))
+
+
+def page_images(spark, d):
+    return layout.image_markers(synthetic_pages(spark, d)).select("doc_id", "page_index", "y", "placeholder")
+
+
+def page_unique_images(spark, d):
+    return layout.unique_images(synthetic_pages(spark, d)).select("doc_id", "xref", "page_index")
+
+
+def scanned_ratio(spark, d):
+    rows = documents(spark, d).select("source", F.left("text", (F.col("doc_id") % 60).cast("int")).alias("text"), (F.col("doc_id") % 7).alias("n_images"))
+    return layout.scanned(rows, "source")
+
+
+# --- media ----------------------------------------------------------------------------
+
+
+def media_dedupe(spark, d):
+    rows = documents(spark, d).select("source", "doc_id", F.encode("text", "utf-8").alias("content"))
+    return media.number_contents(rows, "content", "doc_id", "source").select("source", "doc_id", "digest", "image_no")
+
+
+def media_order(spark, d):
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("logo"), F.col("doc_id") % 11)).otherwise(F.concat(F.lit("image"), F.col("doc_id") % 30))
+    rows = documents(spark, d).select("source", "doc_id", F.col("doc_id").alias("ord"), F.concat(F.lit("word/media/"), name, F.lit(".png")).alias("entry_name"))
+    return media.ordinal_media(rows, "source").select("source", "doc_id", "entry_name", "nth")
+
+
+def placeholder_media(spark, d):
+    """M7, M8: a document's truncated images meet its source's media by ordinal."""
+    cut = media.inline_images(md_docs(spark, d)).filter("nth is not null")
+    sources = documents(spark, d).select("doc_id", "source")
+    kept = documents(spark, d).filter("doc_id % 50 = 0").select("source", F.col("doc_id").alias("media"))
+    ranked = kept.withColumn("m", F.row_number().over(Window.partitionBy("source").orderBy("media")))
+    n = ranked.groupBy("source").agg(F.max("m").alias("n_media"))
+    out = cut.join(sources, "doc_id").join(n, "source", "left").withColumn("m", F.least("nth", "n_media")).join(ranked, ["source", "m"], "left")
+    return out.select("doc_id", F.col("nth").cast("int").alias("nth"), "media")
+
+
+def substitute_markers(spark, d):
+    """Markers of three xrefs become links, others go."""
+    docs = md_docs(spark, d)
+    xrefs = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("xref"), F.concat(F.lit("d"), F.col("doc_id")).alias("prefix"), F.lit(b"x").alias("content"))
+    return media.substitute_markers(docs, media.marker_files(xrefs)).select("doc_id", "text", "n_placed")
+
+
+def marker_uris(spark, d):
+    """M17 with one picture for every xref but 4."""
+    docs = md_docs(spark, d)
+    contents = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("xref"), F.encode(F.col("source"), "utf-8").alias("content"))
+    return media.substitute_markers(docs, media.marker_uris(contents)).select("doc_id", "text", "n_placed")
+
+
+def _media_rows(spark, d) -> DataFrame:
+    name = F.concat(F.lit("word/media/image"), F.col("doc_id") % 4 + 1, F.lit(".png"))
+    content = F.encode(F.concat(F.col("source"), (F.col("doc_id") % 2).cast("string")), "utf-8")
+    return documents(spark, d).filter("doc_id % 3 > 0").select("doc_id", F.lit(0).alias("ord"), name.alias("entry_name"), content.alias("content"), F.lit(".png").alias("ext"))
+
+
+def inline_to_files(spark, d):
+    """Texts with links in place of inline images."""
+    docs = md_docs(spark, d).withColumn("prefix", F.concat(F.lit("doc "), F.col("doc_id")))
+    return media.inline_to_files(docs, _media_rows(spark, d))[0].select("doc_id", "text", "n_images")
+
+
+def truncated_to_base64(spark, d):
+    return media.truncated_to_base64(md_docs(spark, d), _media_rows(spark, d)).select("doc_id", "text")
+
+
+def media_sections(spark, d):
+    """M3-M5: sections of base64 images, by page for PDF, in order for ZIP documents."""
+    pdf = _media_rows(spark, d).select("doc_id", (F.col("doc_id") % 2).cast("int").alias("page_index"), F.col("ord").alias("pos"), "content")
+    both = media.pdf_image_section(pdf).withColumn("kind", F.lit("pdf"))
+    return both.unionByName(media.zip_image_section(_media_rows(spark, d)).withColumn("kind", F.lit("zip")))
+
+
+def zip_file_names(spark, d):
+    """SNK5's names with collisions, one set per source."""
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "a/").otherwise("b/"), F.lit("x"), F.when(F.col("doc_id") % 5 == 0, "_2").otherwise(""), F.lit(".png"))
+    few = documents(spark, d).withColumn("key", F.concat_ws("-", "source", (F.col("doc_id") / 400).cast("long").cast("string")))
+    rows = few.select("key", F.col("doc_id").alias("ord"), name.alias("entry_name"), F.lit(".png").alias("ext"), F.lit("doc").alias("prefix"))
+    return media.zip_file_names(rows, "key").select("key", F.col("ord").alias("doc_id"), "name")
+
+
+def safe_stems(spark, d):
+    return _table(spark, d, "pages").select("page_id", media.safe_stem("url").alias("stem"))
+
+
+def model_ids(spark, d):
+    body = F.to_json(F.struct(F.array(F.struct(F.col("p_brand").alias("id")), F.struct(F.col("p_type").alias("id")), F.struct(F.col("p_brand").alias("id"))).alias("data")))
+    return _table(spark, d, "part").select("p_partkey", F.array_join(media.model_ids(body), ",").alias("ids"))
+
+
+# --- queue and sources ----------------------------------------------------------------
+
+
+def _sources(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "/in/").alias("src"))
+
+
+def queue_destinations(spark, d):
+    return _sources(spark, d).select("page_id", queue.destination("src", F.lit("/out")).alias("flat"), queue.destination("src", F.lit("/out"), F.lit("/in")).alias("mirrored"))
+
+
+def dest_collisions(spark, d):
+    rows = _sources(spark, d).select("page_id", F.col("page_id").alias("queue_pos"), queue.destination("src", F.lit("/out")).alias("destination"))
+    return queue.collisions(rows).select("page_id", "destination", "collision")
+
+
+def enqueue(spark, d):
+    return queue.enqueue_by(documents(spark, d), "source", "lang", "doc_id").toDF("batch", "source", "queue_pos")
+
+
+def route(spark, d):
+    return documents(spark, d).select("doc_id", queue.route(F.lit(True), F.col("doc_id") % 3 == 0).alias("route"), queue.near_empty("text").alias("near_empty"))
+
+
+def vision_models(spark, d):
+    name = F.when(F.col("p_partkey") % 5 == 0, "LLaVA:7b-").when(F.col("p_partkey") % 5 == 1, "gpt-4o-").when(F.col("p_partkey") % 5 == 2, "mistral-").when(F.col("p_partkey") % 5 == 3, "Gemma3:").otherwise("text-")
+    return _table(spark, d, "part").select("p_partkey", queue.is_vision_model(F.concat(name, F.col("p_partkey").cast("string"))).alias("vision"))
+
+
+def endpoint_normalise(spark, d):
+    url = F.when(F.col("page_id") % 2 == 0, F.concat(F.regexp_extract("url", "^([a-z]+://[^/]*)", 1), F.lit("/"))).otherwise(F.col("url"))
+    return _table(spark, d, "pages").select("page_id", queue.normalise_endpoint(url).alias("endpoint"))
+
+
+def diagnose(spark, d):
+    k = F.col("event_id") % 6
+    message = F.when(k == 0, "CUDA out of memory").when(k == 1, "x").when(k == 2, "HTTP 401").when(k == 3, "model does not exist").when(k == 4, "timed out").otherwise("odd")
+    kind = F.when(k == 1, "APIConnectionError").when(k == 2, "AuthenticationError").otherwise("Error")
+    return _table(spark, d, "events").select("event_id", queue.diagnose(message, kind).alias("diagnosis"))
+
+
+def html_markdown(spark, d):
+    return files.html_documents(_table(spark, d, "pages"))
+
+
+def settings(spark, d):
+    parsed = files.settings("props", "struct<k: int>", F.lit('{"k": -1}'))
+    return _table(spark, d, "events").select("event_id", parsed["k"].alias("k"))
+
+
+def title_cased(spark, d):
+    return documents(spark, d).select("doc_id", T.title_case("text").alias("title"))
+
+
+_PLAIN = (
+    line_explode, line_rejoin, fence_state, frontmatter_end, skip_lines, strip_headers_footers, strip_page_numbers, strip_empty_headings,
+    lint_md047, lint_all, lint_counts, fix_totals, boilerplate_lines, headings, headings_dedup, endpoints, endpoint_groups, index_gate, index_render,
+    line_predicates, table_markdown, table_clean, body_font_size, heading_levels, page_layout, page_images, page_unique_images, scanned_ratio,
+    media_dedupe, media_order, placeholder_media, substitute_markers, marker_uris, inline_to_files, truncated_to_base64, media_sections,
+    zip_file_names, safe_stems, model_ids, queue_destinations, dest_collisions, enqueue, route, vision_models, endpoint_normalise, diagnose,
+    html_markdown, settings, title_cased,
+)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    rules = {f"lint_{r}": _rule(r) for r, _ in C.RULES}
+    return {f.__name__: f for f in _PLAIN} | rules
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
