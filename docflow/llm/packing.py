@@ -28,19 +28,19 @@ from . import kernels as K
 from .common import cut
 
 SIZE, OPEN, MERGE, END_ID = 4096, 48, 128, 2
-CACHE, SHORT = 450_000, 40
+CACHE, PIECE = 2_000_000, 4 << 20  # words that a worker remembers; bytes of text looked up together
 
-#: Words whose pre-tokens are plain: letters with one lower-case form and composed already, then one stop or comma.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-_SEPARATORS = re.compile(r"[\x1c-\x1f]").search
+#: Words of one pre-token: letters with one lower-case form, and composed already.
+_PLAIN = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, for a tokenizer that drops white space.
+    """Ids of whole texts by the tokenizers library, for a lower-casing tokenizer that drops white space.
 
-    Such a tokenizer treats words between white space apart, so a text's ids are its words'
-    ids in turn, and each distinct word is encoded once while the worker remembers it.
+    Such a tokenizer treats words between white space apart, and a stop or comma after a
+    letter or digit too. So a text's ids are those of its words in turn. Words are found and
+    hashed in numpy; the library encodes each distinct word once while the worker knows it,
+    and ids are gathered by word. What the worker knows is four flat arrays.
     """
 
     def __init__(self, path: str):
@@ -55,59 +55,96 @@ class WordEncoder:
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a pre-token
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-        self.misses = 0
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words not known yet; they are remembered while there is room."""
-        known, new = self.known, {}
-        self.misses += len(words)
-        if self.misses > 4 * CACHE:  # the words that come now are others than those held
-            known.clear()
-            self.misses = 0
-        plain, other = [], []
-        for w in words:
-            m = _PLAIN(w)
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        bases = [b for b in {b for _, b, _ in plain}.union(".,") if b not in known]
-        lines = [bases[i : i + 500] for i in range(0, len(bases), 500)]
+        self.stops = np.zeros(256, np.uint32)
+        for mark in ".,":
+            (self.stops[ord(mark)],) = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.count, self.flat, self.misses = np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, how many each word has)."""
+        plain = [i for i, w in enumerate(words) if _PLAIN(w)]
+        other = [i for i, w in enumerate(words) if not _PLAIN(w)]
+        ids: list = [None] * len(words)
+        lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         for lo in range(0, len(lines), 16):
             some = lines[lo : lo + 16]
-            for line, ids in zip(some, self._encode([" ".join(x) for x in some]), strict=True):
-                edge = (np.flatnonzero(self.last[ids]) + 1) * 4
+            for line, e in zip(some, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in x]) for x in some], add_special_tokens=False), strict=True):
+                found = np.array(e.ids, np.uint32)
+                edge = np.flatnonzero(self.last[found]) + 1
                 if len(edge) != len(line):
                     raise ValueError("a plain word made more than one pre-token")
-                raw, start = ids.tobytes(), 0
-                for w, end in zip(line, edge.tolist(), strict=True):
-                    new[w], start = raw[start:end], end
-        of = lambda w: new[w] if w in new else known[w]
-        for w, base, stop in plain:
-            new[w] = of(base) + of(stop) if stop else of(base)
-        for lo in range(0, len(other), 2000):
-            some = other[lo : lo + 2000]
-            for w, ids in zip(some, self._encode(some), strict=True):
-                new[w] = ids.tobytes()
-        if len(known) < CACHE:
-            known.update((w, x) for w, x in new.items() if len(w) <= SHORT)
-        return new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() if not _SEPARATORS(t) else _WORDS(t) for t in texts]
-        seen: set[str] = set()
-        for words in split:
-            seen.update(words)
-        new = self.learn(seen.difference(self.known))
-        known = self.known
-        return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
-
-
+                for i, part in zip(line, np.split(found, edge[:-1]), strict=True):
+                    ids[i] = part
+        for lo in range(0, len(other), 1000):
+            some = other[lo : lo + 1000]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                ids[i] = np.array(e.ids, np.uint32)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _look_up(self, keys: np.ndarray, where: np.ndarray, ends: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, count, flat ids) of distinct words; those not known are encoded, and remembered while there is room."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        start, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        start[known], count[known] = self.start[at[known]], self.count[at[known]]
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return start, count, self.flat
+        words = [data[a:b].decode() for a, b in zip(where[new].tolist(), ends[new].tolist(), strict=True)]
+        ids, n = self._encode(words)
+        flat = np.concatenate([self.flat, ids])
+        count[new] = n
+        start[new] = np.cumsum(n) - n + len(self.flat)
+        self.misses += len(new)
+        if self.misses > 4 * CACHE:  # the words that come now are others than those known
+            self._forget()
+        elif len(self.keys) < CACHE and len(ids) < CACHE:
+            put = np.searchsorted(self.keys, keys[new])
+            self.start, self.count = np.insert(self.start, put, start[new]), np.insert(self.count, put, n)
+            self.keys, self.flat = np.insert(self.keys, put, keys[new]), flat
+        return start, count, flat
+
+    def encode(self, column: pa.Array) -> tuple[bytes, np.ndarray]:
+        """(ids of all texts in turn as little-endian unsigned 32-bit integers, index of each text's first id and an end mark)."""
+        raw, offsets = K.binary_buffers(column)
+        out, made = [], [np.zeros(0, np.int64)]
+        firsts = [np.zeros(0, np.int64)]
+        for lo, hi in K.pieces(raw, offsets, K.SPACE, PIECE):
+            part = raw[lo:hi]
+            inner = offsets[np.searchsorted(offsets, lo, "right") : np.searchsorted(offsets, hi, "left")] - lo
+            starts, ends = K._words_of(part, inner, K.SPACE)
+            if not len(starts):
+                continue
+            lower = K.LOWER[part]
+            for i in np.unique(np.searchsorted(starts, np.flatnonzero((part[:-1] == 60) & (part[1:] == 124)), "right") - 1).tolist():
+                lower[starts[i] : ends[i]] = part[starts[i] : ends[i]]  # special strings are found before letters are lowered
+            tail, before, lead = lower[ends - 1], lower[np.maximum(ends - 2, 0)], lower[np.maximum(ends - 3, 0)]
+            size = ends - starts
+            letter = _ALNUM[before] | ((lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (size > 2))
+            stop = ((tail == 46) | (tail == 44)) & (size > 1) & letter
+            ends = ends - stop
+            h = K._hashes(lower, starts, ends, K._TABLE)
+            keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+            first, count, flat = self._look_up(keys, starts[where], ends[where], lower.tobytes())
+            n = count[inverse] + stop
+            end = np.cumsum(n)
+            at = np.arange(end[-1]) + np.repeat(first[inverse] - (end - n), n)
+            ids = flat[np.minimum(at, len(flat) - 1)]
+            ids[end[stop] - 1] = self.stops[tail[stop]]
+            out.append(ids)
+            made.append(n)
+            firsts.append(starts + lo)
+        n, starts = np.concatenate(made), np.concatenate(firsts)
+        total = np.concatenate([[0], np.cumsum(n)])
+        return b"".join(x.astype("<u4").tobytes() for x in out), total[np.searchsorted(starts, offsets, "left")]
+
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[97:123] = True
 _held: dict[str, WordEncoder] = {}
 
 
@@ -235,11 +272,12 @@ def _pack(path: str, size: int, limit: int, end_id: int, schema: pa.Schema):
 
         packer = Packer(size, limit, emit)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 400):
-                part_of = batch.slice(lo, 400)
-                texts = [t or "" for t in K.ids_of(part_of, "text").to_pylist()]
-                for ident, ids in zip(K.ids_of(part_of, "id").to_pylist(), encoder(path).encode(texts), strict=True):
-                    packer.add((ident, ids + tail), len(ids) // 4 + 1)
+            for lo in range(0, batch.num_rows, 2000):
+                part_of = batch.slice(lo, 2000)
+                ids, first = encoder(path).encode(K.ids_of(part_of, "text"))
+                edge = (4 * first).tolist()
+                for ident, a, b in zip(K.ids_of(part_of, "id").to_pylist(), edge[:-1], edge[1:], strict=True):
+                    packer.add((ident, ids[a:b] + tail), (b - a) // 4 + 1)
                 if out[0]:
                     yield rows()
         add(packer.finish(), None)
