@@ -130,7 +130,7 @@ _NMT = "rtrim(" + strip(f"regexp_extract(line, '{_NM}', 3)") + ", '.')"
 
 
 def _title(c: str) -> str:
-    return f"list_aggregate(list_transform(string_split({c}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), 'string_agg', ' ')"
+    return f"list_aggregate(list_transform(regexp_extract_all({c}, '\\p{{L}}+|\\P{{L}}+'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), 'string_agg', '')"
 
 
 _ATX = f"^(#{{1,6}}){WS}+(.+?){WS}*$"
