@@ -12,6 +12,7 @@ from .heapbpe import count_tokens
 from .jaccard import jaccard_components
 from .lines import remove_boilerplate
 from .lm import score_texts
+from .oracle import ORACLE_SQL
 from .packing import END_ID, SIZE, pack_texts
 from .quality import ledger, verdict
 from .substring import remove_repeats
@@ -83,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
