@@ -17,6 +17,7 @@ from .common import cut
 
 MIN_SITES = 10
 LOG_K = 8  # 2**8 registers: a relative error of about 1.04 / 16
+WHITE = " \t\x0b\f\r"
 SURE = 0.5  # estimates within this share of the threshold are counted exactly (over 7 standard errors)
 
 
@@ -35,7 +36,7 @@ def boilerplate(docs: DataFrame, text: str, site: str, min_sites: int = MIN_SITE
 
 def _hash(line: str):
     """Hash of a line without the white space around it; null for a blank line."""
-    bare = F.trim(F.translate(F.col(line), "\t\x0b\f\r", "    "))
+    bare = F.btrim(F.col(line), F.lit(WHITE))
     return F.when(bare != "", F.xxhash64(bare))
 
 
@@ -58,5 +59,5 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = source.join(gone, "row_key", "left")
     split = F.split("text", "\n", -1)
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    solid = F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    solid = F.size(F.filter(split, lambda x: F.btrim(x, F.lit(WHITE)) != "")).cast("long")
     return out.select(F.col("doc_id").alias(id_col), *(["rest"] if carry else []), solid.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
