@@ -127,7 +127,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     groups = pieces(vectors.select(id_col, vector_col), GROUP_BYTES)
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("q").toArrow().column("q").to_pylist()
     width = max((len(x) for x in some), default=0)
-    sample = np.array([x for x in some if len(x) == width], np.float64).reshape(-1, width)
+    sample = np.array([x for x in some if width and len(x) == width], np.float64).reshape(-1, max(width, 1))
     pivots = _pivots(sample, PIVOTS) if len(sample) else np.zeros((0, 0))
     home = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
     packed = rows.withColumn("grp", home).groupBy("grp", "dim").applyInArrow(_pack(pivots), "grp int, dim int, ids binary, vectors binary")
