@@ -56,7 +56,12 @@ def last_char(c: Column | str) -> Column:
 def title_case(c: Column | str) -> Column:
     """Each run of letters with its first letter in upper case, the others in lower case."""
     runs = F.regexp_extract_all(col(c), F.lit(r"(?U)\p{L}+|\P{L}+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substr(r, F.lit(2))))), "")
+
+    def run(r: Column) -> Column:
+        first = F.upper(F.left(r, F.lit(1)))  # two letters for sharp s, of which the second is small
+        return F.concat(F.left(first, F.lit(1)), F.lower(F.substr(first, F.lit(2))), F.lower(F.substr(r, F.lit(2))))
+
+    return F.array_join(F.transform(runs, run), "")
 
 
 def base64_plain(c: Column | str) -> Column:

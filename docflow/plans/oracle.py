@@ -130,7 +130,7 @@ _NMT = "rtrim(" + strip(f"regexp_extract(line, '{_NM}', 3)") + ", '.')"
 
 
 def _title(c: str) -> str:
-    return f"list_aggregate(list_transform(regexp_extract_all({c}, '\\p{{L}}+|\\P{{L}}+'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), 'string_agg', '')"
+    return f"list_aggregate(list_transform(regexp_extract_all({c}, '\\p{{L}}+|\\P{{L}}+'), lambda w: CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(left(w, 1)) END || lower(substr(w, 2))), 'string_agg', '')"
 
 
 _ATX = f"^(#{{1,6}}){WS}+(.+?){WS}*$"
@@ -244,4 +244,35 @@ SELECT page_id, destination, cast(row_number() OVER (PARTITION BY destination OR
         "diagnose": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'memory' WHEN 1 THEN 'connection' WHEN 2 THEN 'auth' WHEN 3 THEN 'not_found' WHEN 4 THEN 'timeout' ELSE 'default' END AS diagnosis FROM events",
         "fix_totals": rewritten("NOT s AND contains(line, chr(9))", "line").replace("SELECT doc_id, cast(sum", "SELECT cast(doc_id % 10 AS BIGINT) AS shard, cast(sum").replace(" AS n, string_agg(CASE WHEN NOT s AND contains(line, chr(9)) THEN line ELSE line END, chr(10) ORDER BY line_no) AS text FROM st GROUP BY doc_id", " AS n FROM st GROUP BY 1"),
     }
+    ordered = f"^({WS}*)([0-9]+)([.)])({WS}+)(.*)$"
+    part = lambda i: f"regexp_extract(line, '{ordered}', {i})"
+    deep = "(r.ind || ' ')"
+    going = f"NOT i.gs AND coalesce(starts_with(i.lo, {deep}), true) AND coalesce(starts_with(i.hi, {deep}), true)"
+    same = f"({going} AND i.ind = r.ind AND i.del = r.del)"
+    inner = f"({going} AND NOT (i.ind = r.ind AND i.del = r.del) AND starts_with(i.line, {deep}))"
+    out["lint_md029"] = f"""WITH RECURSIVE {MD}, {lines('md_docs')}, {states()},
+a0 AS (SELECT *, NOT s AND {has('line', ordered)} AS it FROM st), a1 AS (SELECT *, sum(it::INT) {OVER} AS gap FROM a0),
+ag AS (SELECT doc_id, gap, min(line) FILTER (WHERE NOT it AND NOT b AND NOT s) AS lo, max(line) FILTER (WHERE NOT it AND NOT b AND NOT s) AS hi, bool_or(s AND NOT it) AS gs FROM a1 GROUP BY 1, 2),
+it AS (SELECT doc_id, line_no, line, {part(1)} AS ind, {part(2)} AS num, {part(3)} AS del, row_number() {OVER} AS k, lag(lo) {OVER} AS lo, lag(hi) {OVER} AS hi, coalesce(lag(gs) {OVER}, false) AS gs FROM a1 JOIN ag USING (doc_id, gap) WHERE it),
+pr AS (SELECT doc_id, line_no, lag(ind) {OVER} = ind AND lag(del) {OVER} = del AS p, num::BIGINT = 1 AND lag(num::BIGINT) {OVER} = 1 AS o FROM it),
+sy AS (SELECT doc_id, arg_min(o, line_no) FILTER (WHERE p) AS one FROM pr GROUP BY 1),
+r AS (SELECT doc_id, k, line_no, ind, del, 1::BIGINT AS blk, 1::BIGINT AS mine FROM it WHERE k = 1
+ UNION ALL SELECT i.doc_id, i.k, i.line_no, CASE WHEN {same} OR {inner} THEN r.ind ELSE i.ind END, CASE WHEN {same} OR {inner} THEN r.del ELSE i.del END,
+  CASE WHEN {same} OR {inner} THEN r.blk ELSE r.blk + 1 END, CASE WHEN {inner} THEN 0 WHEN {same} THEN r.blk ELSE r.blk + 1 END FROM r JOIN it i ON i.doc_id = r.doc_id AND i.k = r.k + 1),
+wa AS (SELECT r.doc_id, r.line_no, CASE WHEN one THEN 1 ELSE row_number() OVER (PARTITION BY r.doc_id, mine ORDER BY r.line_no) END AS want, count(*) OVER (PARTITION BY r.doc_id, mine) AS c FROM r LEFT JOIN sy ON sy.doc_id = r.doc_id WHERE mine > 0),
+du AS (SELECT wa.doc_id, wa.line_no, want FROM wa JOIN it ON it.doc_id = wa.doc_id AND it.line_no = wa.line_no WHERE c > 1 AND num::BIGINT <> want)
+SELECT st.doc_id, count(want)::BIGINT AS n, string_agg(CASE WHEN want IS NOT NULL THEN {part(1)} || want || {part(3)} || {part(4)} || {part(5)} ELSE line END, chr(10) ORDER BY st.line_no) AS text FROM st LEFT JOIN du ON du.doc_id = st.doc_id AND du.line_no = st.line_no GROUP BY 1"""
+    uri = "'data:image/png;base64,' || to_base64(encode(source || doc_id % 2))"
+    token = "data:image/png;base64..."
+    out |= {
+        "truncated_to_base64": f"WITH {MD} SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN replace(text, '{token}', {uri}) ELSE text END AS text FROM md_docs",
+        "inline_to_files": f"WITH {MD} SELECT doc_id, replace(text, '{token}', CASE WHEN doc_id % 3 > 0 THEN 'images/doc_' || doc_id || '_image1.png' ELSE '' END) AS text, CASE WHEN doc_id % 3 > 0 AND contains(text, '{token}') THEN 1 ELSE 0 END AS n_images FROM md_docs",
+        "media_sections": f"SELECT doc_id, '## Embedded images' || {_NN} || '### Page ' || (doc_id % 2 + 1) || {_NN} || '![image 1](' || {uri} || ')' AS section, 'pdf' AS kind FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, '## Embedded images' || {_NN} || '![image 1](' || {uri} || ')', 'zip' FROM documents WHERE doc_id % 3 > 0",
+        "marker_uris": f"WITH {MD} SELECT doc_id, regexp_replace(regexp_replace(text, '<!--MDGUI_IMG:x[0-3]:w[0-9]+:h[0-9]+-->', '![image](data:image/png;base64,' || to_base64(encode(source)) || ')', 'g'), '<!--MDGUI_IMG:x[0-9]+:w[0-9]+:h[0-9]+-->', '', 'g') AS text, len(regexp_extract_all(text, '<!--MDGUI_IMG:x[0-3]:w[0-9]+:h[0-9]+-->'))::BIGINT AS n_placed FROM md_docs",
+        "page_images": "SELECT doc_id - doc_id % 3 AS doc_id, (doc_id % 3)::INT AS page_index, 21.0::DOUBLE AS y, '<!--MDGUI_IMG:x' || doc_id % 9 || ':w' || doc_id % 6 || ':h8-->' AS placeholder FROM documents WHERE doc_id % 2 = 0 AND doc_id % 9 > 0 AND doc_id % 6 >= 4",
+        "page_unique_images": "SELECT doc_id - doc_id % 3 AS doc_id, (doc_id % 9)::INT AS xref, min(doc_id % 3)::INT AS page_index FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2",
+        "model_ids": "SELECT p_partkey, CASE WHEN p_brand = p_type THEN p_brand ELSE least(p_brand, p_type) || ',' || greatest(p_brand, p_type) END AS ids FROM part",
+        "settings": "SELECT event_id, (props::JSON->>'k')::INT AS k FROM events",
+        "title_cased": f"SELECT doc_id, {_title('text')} AS title FROM documents",
+    }
     return out
