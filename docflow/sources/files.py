@@ -189,11 +189,12 @@ class _Markdown(HTMLParser):
         self.put(data if self.pre else " ".join(data.split()).join((" " if data[:1].isspace() else "", " " if data[-1:].isspace() else "")) if data.strip() else (" " if data else ""))
 
     def text(self) -> str:
-        lines, blank = [], True
+        lines, blank, code = [], True, False
         for line in "".join(self.out).split("\n"):
             line = line.rstrip()
-            if line or not blank:
-                lines.append(line if line.startswith(("  -", "    ")) else line.lstrip() if not line.startswith("  ") else line)
+            if line or code or not blank:
+                lines.append(line if code or line.startswith("  ") else line.lstrip())
+            code ^= line == "```"
             blank = not line
         return "\n".join(lines).strip()
 
