@@ -198,71 +198,74 @@ def bare_callouts(lines: DataFrame) -> DataFrame:
     return _counted(lines, "callout", ~F.col("in_fence") & T.has("line", p), T.sub("line", p, r"$1$2\\)"))
 
 
-def ordered_items(lines: DataFrame) -> DataFrame:
-    """R12's input: each unskipped ordered item with what stands between it and the item before.
+def _list_fold(items: Column) -> Column:
+    """R12's blocks: (line_no, num, block, rank) of each ordered item, block 0 for items inside another list's block.
 
-    gap_lo and gap_hi are the least and greatest of the lines with text between two items:
-    if both start with a prefix, all of them do. gap_skip tells of a skipped line among them.
+    A block goes on as long as lines are its items, blank, or start with its indent and a
+    space. That depends on its first item, so it is a fold over the items in order. lo and hi
+    of an item are the least and greatest of the lines with text up to the next item: if both
+    start with a prefix, all of them do. cut tells of a skipped line among them.
     """
-    is_item = ~F.col("skip") & T.has("line", L.ORDERED_ITEM)
-    out = lines.withColumn("_item", is_item).withColumn("_gap", F.sum(F.col("_item").cast("int")).over(L.upto()))
-    between = Window.partitionBy(L.KEY, "_gap")
-    text = F.when(~F.col("_item") & ~L.blank() & ~F.col("skip"), F.col("line"))
-    out = out.withColumns({"_lo": F.min(text).over(between), "_hi": F.max(text).over(between), "_skip": F.max((F.col("skip") & ~F.col("_item")).cast("int")).over(between) == 1})
-    out = out.filter("_item")
-    lag = lambda c: F.lag(c).over(L.ordered())
-    fields = {"indent": T.group("line", L.ORDERED_ITEM, 1), "num": T.group("line", L.ORDERED_ITEM, 2), "delim": T.group("line", L.ORDERED_ITEM, 3), "gap_lo": lag("_lo"), "gap_hi": lag("_hi"), "gap_skip": F.coalesce(lag("_skip"), F.lit(False))}
-    return out.select(L.KEY, "line_no", "line", *(c.alias(n) for n, c in fields.items()))
-
-
-def list_style(items: DataFrame) -> DataFrame:
-    """R12's style by document: one if the first two neighbouring items of one list are both 1, or else ordered."""
-    pair = (L.before("indent") == F.col("indent")) & (L.before("delim") == F.col("delim"))
-    one = lambda c: T.has(c, r"^0*1\z")
-    found = items.withColumns({"_pair": pair, "_ones": one("num") & one(L.before("num"))})
-    first = F.min_by("_ones", F.when(F.col("_pair"), F.col("line_no")))
-    return found.groupBy(L.KEY).agg(F.when(first, "one").otherwise("ordered").alias("style"))
-
-
-def list_blocks(items: DataFrame) -> DataFrame:
-    """R12's blocks: items with the number of their block, 0 for items inside another list's block.
-
-    A block goes on as long as lines are its items, blank, or start with its indent and a space,
-    which depends on its first item: a fold over the document's items in order.
-    """
-    row = F.struct("line_no", "line", "indent", "num", "delim", "gap_lo", "gap_hi", "gap_skip")
-    packed = items.groupBy(L.KEY).agg(F.array_sort(F.collect_list(row)).alias("items"))
-    empty = F.array().cast("array<int>")
-    start = F.struct(F.lit(None).cast("string").alias("indent"), F.lit(None).cast("string").alias("delim"), F.lit(0).alias("block"), empty.alias("out"))
+    start = F.struct(
+        F.lit(None).cast("string").alias("indent"), F.lit(None).cast("string").alias("delim"), F.lit(0).alias("block"), F.lit(0).alias("rank"),
+        F.lit(None).cast("string").alias("lo"), F.lit(None).cast("string").alias("hi"), F.lit(False).alias("cut"),
+        F.array().cast("array<struct<line_no: int, num: string, block: int, rank: int>>").alias("out"),
+    )
 
     def step(a, x):
         deeper = F.concat(a["indent"], F.lit(" "))
         fits = lambda c: F.coalesce(F.startswith(c, deeper), F.lit(True))
-        going = a["indent"].isNotNull() & ~x["gap_skip"] & fits(x["gap_lo"]) & fits(x["gap_hi"])
-        same = going & (x["indent"] == a["indent"]) & (x["delim"] == a["delim"])
-        inner = going & ~same & F.startswith(x["line"], deeper)
-        new = ~F.coalesce(same, F.lit(False)) & ~F.coalesce(inner, F.lit(False))
-        block = F.when(new, a["block"] + 1).otherwise(a["block"])
-        mine = F.when(F.coalesce(inner, F.lit(False)), 0).otherwise(block)
-        return F.struct(F.when(new, x["indent"]).otherwise(a["indent"]).alias("indent"), F.when(new, x["delim"]).otherwise(a["delim"]).alias("delim"), block.alias("block"), F.array_append(a["out"], mine).alias("out"))
-
-    folded = packed.withColumn("blocks", F.aggregate("items", start, step, lambda a: a["out"]))
-    flat = folded.select(L.KEY, F.explode(F.arrays_zip("items", "blocks")).alias("x"))
-    return flat.select(L.KEY, "x.items.*", F.col("x.blocks").alias("block"))
+        going = a["indent"].isNotNull() & ~a["cut"] & fits(a["lo"]) & fits(a["hi"])
+        peer = (x["indent"] == a["indent"]) & (x["delim"] == a["delim"])
+        same = F.coalesce(going & peer, F.lit(False))
+        inner = F.coalesce(going & ~peer & F.startswith(x["line"], deeper), F.lit(False))
+        block = F.when(same | inner, a["block"]).otherwise(a["block"] + 1)
+        rank = F.when(inner, a["rank"]).when(same, a["rank"] + 1).otherwise(1)
+        mine = F.struct(x["line_no"].cast("int").alias("line_no"), x["num"].alias("num"), F.when(inner, 0).otherwise(block).alias("block"), rank.alias("rank"))
+        keep = same | inner
+        return F.struct(
+            F.when(keep, a["indent"]).otherwise(x["indent"]).alias("indent"), F.when(keep, a["delim"]).otherwise(x["delim"]).alias("delim"), block.alias("block"), rank.alias("rank"),
+            x["lo"].alias("lo"), x["hi"].alias("hi"), x["cut"].alias("cut"), F.array_append(a["out"], mine).alias("out"),
+        )
+
+    return F.aggregate(items, start, step, lambda a: a["out"])
+
+
+def _one_style(items: Column) -> Column:
+    """R12's style: whether the first two neighbouring items of one list are both 1."""
+    one = lambda x: T.has(x["num"], r"^0*1\z")
+    pairs = F.zip_with(items, F.slice(items, F.lit(2), F.size(items)), lambda a, b: F.struct(((a["indent"] == b["indent"]) & (a["delim"] == b["delim"])).alias("pair"), (one(a) & one(b)).alias("ones")))
+    first = F.get(F.filter(pairs, lambda p: F.coalesce(p["pair"], F.lit(False))), F.lit(0))
+    return F.coalesce(first["ones"], F.lit(False))
 
 
 def ordered_list_prefix(lines: DataFrame) -> DataFrame:
-    """R12 (S): renumber the items of blocks of two or more, 1 1 1 or 1 2 3 as the document's first list has it."""
-    items = ordered_items(lines)
-    blocks = list_blocks(items).filter("block > 0").join(list_style(items), L.KEY)
-    w = Window.partitionBy(L.KEY, "block")
-    want = F.when(F.col("style") == "one", F.lit(1)).otherwise(F.row_number().over(w.orderBy("line_no")))
-    due = blocks.withColumns({"_want": want.cast("string"), "_size": F.count("*").over(w)})
-    due = due.filter((F.col("_size") > 1) & (F.regexp_replace("num", "^0+(?=.)", "") != F.col("_want"))).select(L.KEY, "line_no", "_want")
-    out = lines.join(due, [L.KEY, "line_no"], "left")
+    """R12 (S): renumber the items of blocks of two or more, 1 1 1 or 1 2 3 as the document's first list has it.
+
+    A document's lines are gathered for the fold and spread again, where they are: the
+    windows before have brought them together.
+    """
     p = L.ORDERED_ITEM
+    out = lines.withColumn("_item", ~F.col("skip") & T.has("line", p)).withColumn("_gap", F.sum(F.col("_item").cast("int")).over(L.upto()))
+    gap = Window.partitionBy(L.KEY, "_gap")
+    text = F.when(~F.col("_item") & ~L.blank() & ~F.col("skip"), F.col("line"))
+    parts = {"indent": T.group("line", p, 1), "num": T.group("line", p, 2), "delim": T.group("line", p, 3), "lo": F.min(text).over(gap), "hi": F.max(text).over(gap), "cut": F.max((F.col("skip") & ~F.col("_item")).cast("int")).over(gap) == 1}
+    out = out.select(L.KEY, "_item", *(c for c in lines.columns if c != L.KEY), F.when(F.col("_item"), F.struct(*(v.alias(k) for k, v in parts.items()))).alias("_parts"))
+    fields = ["line_no", *(c for c in out.columns if c not in (L.KEY, "line_no"))]
+    packed = out.groupBy(L.KEY).agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: a["line_no"] - b["line_no"]).alias("_rows"))
+    items = F.transform(F.filter("_rows", lambda r: r["_item"]), lambda r: F.struct(r["line_no"].alias("line_no"), r["line"].alias("line"), *(r["_parts"][k].alias(k) for k in parts)))
+    packed = packed.withColumn("_items", items).withColumns({"_fold": _list_fold(F.col("_items")), "_one": _one_style(F.col("_items"))})
+
+    def due(fold: Column) -> Column:
+        real = F.transform(F.filter(fold, lambda x: x["rank"] == 2), lambda x: x["block"])
+        want = lambda x: F.when(F.col("_one"), F.lit("1")).otherwise(x["rank"].cast("string"))
+        hit = lambda x: (x["block"] > 0) & F.array_contains(real, x["block"]) & (F.regexp_replace(x["num"], "^0+(?=.)", "") != want(x))
+        return F.map_from_entries(F.transform(F.filter(fold, hit), lambda x: F.struct(x["line_no"], want(x))))
+
+    spread = packed.select(L.KEY, due(F.col("_fold")).alias("_due"), F.explode("_rows").alias("_r")).select(L.KEY, "_due", "_r.*")
+    spread = spread.withColumn("_want", F.try_element_at("_due", F.col("line_no").cast("int"))).drop("_due", "_item", "_parts")
     new = F.concat(T.group("line", p, 1), F.col("_want"), T.group("line", p, 3), T.group("line", p, 4), T.group("line", p, 5))
-    return _counted(out, "md029", F.col("_want").isNotNull(), new).drop("_want")
+    return _counted(spread, "md029", F.col("_want").isNotNull(), new).drop("_want")
 
 
 def _insert(lines: DataFrame, rule: str, above: Column, below: Column) -> DataFrame:

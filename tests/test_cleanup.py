@@ -45,10 +45,7 @@ def test_single_rules_against_folds(spark):
 
 def test_lint_is_one_shuffle_without_python(spark):
     docs = spark.createDataFrame(documents(3, 1), "doc_id long, text string")
-    rules = [r for r, _ in C.RULES if r != "md029"]  # which joins its items back
-    out = L.with_skip(L.to_lines(docs))
-    for rule in rules:
-        out = dict(C.RULES)[rule](out)
+    out = C.lint_lines(L.to_lines(docs))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = out._jdf.queryExecution().executedPlan().toString()
