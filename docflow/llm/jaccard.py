@@ -379,7 +379,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = cut(_linked(_leader_pairs(sets, num, den), sets, num, den), "links")
     for _ in range(STARS):
-        links = cut(links.unionByName(_linked(_meet(sets, links, _star_pairs(num, den)), sets, num, den)), "links")
+        new = cut(_linked(_meet(sets, links, _star_pairs(num, den)), sets, num, den), "links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
     links = links.unionByName(_linked(_meet(sets, links, _cross_pairs(num, den)), sets, num, den))
     labels = components(links)
 
