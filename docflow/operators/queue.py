@@ -56,13 +56,12 @@ def supported(path: Column | str) -> Column:
 
 
 def enqueue(paths: DataFrame, path: str = "path", order: str = "pos") -> DataFrame:
-    """SRC3: each path once, where it came first; queue_pos from 0."""
-    first = paths.groupBy(path).agg(F.min(order).alias("_at"))
-    return first.select(F.col(path).alias("source"), (F.row_number().over(Window.orderBy("_at", path)) - 1).alias("queue_pos"))
+    """SRC3: each path once; queue_pos is the place where it came first, so a queue of any length needs no one task."""
+    return paths.groupBy(F.col(path).alias("source")).agg(F.min(order).alias("queue_pos"))
 
 
 def enqueue_by(paths: DataFrame, batch: str, path: str = "path", order: str = "pos") -> DataFrame:
-    """SRC3 for many queues at once, told apart by `batch`; no queue is brought into one task with another."""
+    """SRC3 for many queues at once, told apart by `batch`, with queue_pos from 0 without gaps."""
     first = paths.groupBy(batch, path).agg(F.min(order).alias("_at"))
     return first.select(batch, F.col(path).alias("source"), (F.row_number().over(Window.partitionBy(batch).orderBy("_at", path)) - 1).alias("queue_pos"))
 

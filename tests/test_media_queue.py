@@ -74,7 +74,7 @@ def test_destinations(spark):
 def test_queue(spark):
     paths = spark.createDataFrame([("b", 0), ("a", 1), ("b", 2), ("c", 3)], "path string, pos int")
     q = Q.enqueue(paths)
-    assert [(r.source, r.queue_pos) for r in q.orderBy("queue_pos").collect()] == [("b", 0), ("a", 1), ("c", 2)]
+    assert [(r.source, r.queue_pos) for r in q.orderBy("queue_pos").collect()] == [("b", 0), ("a", 1), ("c", 3)]
     assert Q.remove(q, q.filter("source = 'a'")).count() == 2
     rows = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y")], "queue_pos int, destination string")
     there = spark.createDataFrame([("y",)], "destination string")
