@@ -28,7 +28,7 @@ from . import kernels as K
 from .common import cut
 
 SIZE, OPEN, MERGE, END_ID = 4096, 48, 128, 2
-CACHE, PIECE = 2_000_000, 4 << 20  # words that a worker remembers; bytes of text looked up together
+CACHE, PIECE = 1_200_000, 2 << 20  # words that a worker remembers; bytes of text looked up together
 
 #: Words of one pre-token: letters with one lower-case form, and composed already.
 _PLAIN = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -272,8 +272,8 @@ def _pack(path: str, size: int, limit: int, end_id: int, schema: pa.Schema):
 
         packer = Packer(size, limit, emit)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part_of = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 800):
+                part_of = batch.slice(lo, 800)
                 ids, first = encoder(path).encode(K.ids_of(part_of, "text"))
                 edge = (4 * first).tolist()
                 for ident, a, b in zip(K.ids_of(part_of, "id").to_pylist(), edge[:-1], edge[1:], strict=True):
