@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,12 +33,34 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+UNKNOWN = 1 << 50
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df; it only sets numbers of partitions and buckets, never what is computed."""
+    """About how many bytes df has; it only sets numbers of partitions and buckets, never what is computed.
+
+    Catalyst's estimate, which for a table is the size of its files. Where Catalyst has none
+    (rows from the driver, say) the columns are measured in one pass.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(size, 1 << 60))
+    if size >= UNKNOWN:
+        width = F.lit(0).cast("long")
+        for name, kind in df.dtypes:
+            long = F.octet_length(name) if kind in ("string", "binary") else 8 * F.size(name) if kind.startswith("array") else F.lit(8)
+            width = width + F.coalesce(long, F.lit(0))
+        size = df.agg(F.sum(width)).first()[0] or 0
+    return max(1, size)
 
 
-def pieces(df: DataFrame, bytes_each: int, least: int = 1, most: int = 1 << 15) -> int:
-    """How many pieces of about bytes_each the input makes."""
-    return int(min(most, max(least, -(-input_bytes(df) // bytes_each))))
+ROW_BYTES = 850
+
+
+def pieces(df: DataFrame, least: int) -> int:
+    """How many pieces the input makes, of `least` bytes or more.
+
+    Where every piece sends a row to every other, the rows number the square of the pieces.
+    The size of a piece grows as the square root of the input, so that a row carries about
+    ROW_BYTES or more at any size: 5 MB at 30 GB, 290 MB at 100 TB. A task's memory grows alike.
+    """
+    size = input_bytes(df)
+    return -(-size // max(least, math.isqrt(ROW_BYTES * size)))

@@ -19,7 +19,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    linked = both.join(least, "a")
+    # Joined on ~a, so that both sides are shuffled for the join and a node of very many edges can be split.
+    linked = both.withColumn("k", F.bitwise_not("a")).join(least.select(F.bitwise_not("a").alias("k"), "m"), "k")
     if larger:
         out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

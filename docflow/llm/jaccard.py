@@ -16,7 +16,8 @@ join different components make pairs. Equal sets
 are one class from the start. No link between different sets is lost: a pair is skipped
 only if a bound proves it below the threshold or it is known to be connected.
 
-Sets of 64-bit hashes stand for the sets of n-grams. Within a fragment 48 bits are kept.
+Sets of 64-bit hashes stand for the sets of n-grams. A fragment's number is their leading
+bits; within it the last 48 are kept.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .common import cut, pieces
 from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4  # shingles of 5 words; similarity of 3/4 or more
-FRAGMENT_BYTES = 7 << 20  # input bytes whose n-grams one fragment counts
-PARTS = 4  # fragments in which candidate pairs are counted
+FRAGMENT_BYTES = 8 << 20  # input bytes whose n-grams one fragment counts
+PARTS = 4  # ranges of the order (by its two leading bits) in which candidate pairs are counted
 LEADERS = 4  # min-hash groups per set
 STARS = 2  # rounds that link sets to the largest component they meet, before the rest is compared in pairs
 BITMAP = 8  # 64-bit words of a set's parity bitmap
@@ -85,8 +86,9 @@ def _profile(n: int, id_name: str):
     return run
 
 
-def _to_fragments(n: int, fragments: int):
-    """Deal the n-grams of each distinct set of a batch to fragments: one row per fragment and batch."""
+def _to_fragments(n: int, bits: int):
+    """Deal the n-grams of each distinct set of a batch to 2**bits fragments: one row per fragment and batch."""
+    hold = max(1_500_000, 60 << bits)  # n-grams of a batch: enough for rows of some size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -96,16 +98,14 @@ def _to_fragments(n: int, fragments: int):
             keys, sizes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             grams = np.concatenate([x[2] for x in held])
             own = np.repeat(np.arange(len(keys)), sizes)
-            at = ((grams >> np.uint64(48)) * np.uint64(fragments) >> np.uint64(16)).astype(np.int64)
+            at = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
             order = np.lexsort((own, at))
             at, own, grams = at[order], own[order], grams[order] & _LOW48
-            edge = np.searchsorted(at, np.arange(fragments + 1))
+            there = np.unique(at)
+            edge = np.append(np.searchsorted(at, there), len(at))
             low, high = grams.astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint16)
             out: list[list] = [[] for _ in range(6)]
-            for f in range(fragments):
-                lo, hi = int(edge[f]), int(edge[f + 1])
-                if lo == hi:
-                    continue
+            for f, lo, hi in zip(there.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 start = np.flatnonzero(np.concatenate([[True], own[lo + 1 : hi] != own[lo : hi - 1]]))
                 mine = own[lo:hi][start]
                 for x, v in zip(out, (f, keys[mine].tobytes(), sizes[mine].astype(np.uint32).tobytes(), np.diff(np.append(start, hi - lo)).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()), strict=True):
@@ -123,7 +123,7 @@ def _to_fragments(n: int, fragments: int):
                 pick &= sizes > 0
                 held.append((key[pick], sizes[pick], gram[np.repeat(pick, sizes)]))
                 size += int(sizes[pick].sum())
-                if size >= 1_500_000:
+                if size >= hold:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -132,11 +132,12 @@ def _to_fragments(n: int, fragments: int):
     return run
 
 
-def _count_fragment(homes: int):
+def _count_fragment(bits: int):
     """Of one fragment: each set's n-grams that another set has too, with their document frequencies.
 
-    The answers go by set, in one row for each of `homes` ranges of set keys.
+    The answers go by set, in one row for each of 2**bits ranges of set keys, their homes.
     """
+    inner = np.uint64((1 << min(48, 64 - bits)) - 1)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kinds = (("keys", np.uint64), ("sizes", np.uint32), ("counts", np.uint32), ("low", np.uint32), ("high", np.uint16))
@@ -157,18 +158,17 @@ def _count_fragment(homes: int):
         gram, own, df = gram[keep], own[keep], df[keep]
         order = np.argsort(own, kind="stable")
         packed = np.empty(len(order), _PACKED)
-        packed["g"], packed["f"] = gram[order] | np.uint64(key[0].as_py()) << np.uint64(48), np.minimum(df[order], 0xFFFFFFFF)
+        packed["g"], packed["f"] = gram[order] & inner | np.uint64(key[0].as_py() << 64 - bits if bits else 0), np.minimum(df[order], 0xFFFFFFFF)
         sets, n = np.unique(own, return_counts=True)
-        bounds = np.searchsorted(names[sets], np.array([(h << 64) // homes for h in range(1, homes)], np.uint64))
-        bounds = np.concatenate([[0], bounds, [len(sets)]])
+        home = (names[sets] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sets), np.int64)
+        there = np.unique(home)  # set keys ascend, and so do homes
+        bounds = np.append(np.searchsorted(home, there), len(home))
         start = np.concatenate([[0], np.cumsum(n)])
         out: list[list] = [[] for _ in range(5)]
-        for h in range(homes):
-            lo, hi = int(bounds[h]), int(bounds[h + 1])
-            if lo < hi:
-                mine = sets[lo:hi]
-                for x, v in zip(out, (h, names[mine].tobytes(), sizes[at[mine]].tobytes(), n[lo:hi].astype(np.uint32).tobytes(), packed[start[lo] : start[hi]].tobytes()), strict=True):
-                    x.append(v)
+        for h, lo, hi in zip(there.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            mine = sets[lo:hi]
+            for x, v in zip(out, (h, names[mine].tobytes(), sizes[at[mine]].tobytes(), n[lo:hi].astype(np.uint32).tobytes(), packed[start[lo] : start[hi]].tobytes()), strict=True):
+                x.append(v)
         return pa.table([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["home", "keys", "sizes", "counts", "grams"])
 
     return run
@@ -178,7 +178,7 @@ _PACKED = np.dtype([("g", "<u8"), ("f", "<u4")])
 _SETS = "set_key long, n long, head binary, bits binary, m long, leads array<long>, parts array<binary>"
 
 
-def _gather_sets(fragments: int, num: int, den: int):
+def _gather_sets(num: int, den: int):
     """Sum the fragments' counts by set; keep sets with enough shared n-grams for any partner.
 
     Those get their n-grams rarest first, hence a prefix, a parity bitmap and min-hash
@@ -206,7 +206,7 @@ def _gather_sets(fragments: int, num: int, den: int):
             bits, mixed = np.zeros(BITMAP, np.uint64), K.mix(g)
             np.bitwise_xor.at(bits, (mixed & np.uint64(BITMAP - 1)).astype(np.int64), np.uint64(1) << (mixed >> np.uint64(8) & np.uint64(63)))
             leads = [int((mixed * np.uint64(2 * j + 1)).min().view(np.int64)) for j in range(LEADERS)]
-            edge = np.searchsorted((g >> np.uint64(48)) * np.uint64(PARTS) // np.uint64(fragments), np.arange(PARTS + 1))
+            edge = np.searchsorted(g >> np.uint64(62), np.arange(PARTS + 1))
             for v, y in zip((int(names[i].view(np.int64)), n, head.tobytes(), bits.tobytes(), len(g), leads, [g[edge[j] : edge[j + 1]].tobytes() for j in range(PARTS)]), rows, strict=True):
                 y.append(v)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()))
@@ -369,13 +369,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    fragments = pieces(source, FRAGMENT_BYTES, most=60_000)
+    bits = (pieces(source, FRAGMENT_BYTES) - 1).bit_length()
     profile = cut(source.mapInArrow(_profile(words, "doc_id"), f"doc_id {id_type}, n_shingles long, set_key long"), "profile")
     classes = profile.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
 
-    dealt = source.mapInArrow(_to_fragments(words, fragments), "fragment int, keys binary, sizes binary, counts binary, low binary, high binary")
-    shared = dealt.groupBy("fragment").applyInArrow(_count_fragment(fragments), "home int, keys binary, sizes binary, counts binary, grams binary")
-    sets = cut(shared.groupBy("home").applyInArrow(_gather_sets(fragments, num, den), _SETS), "sets")
+    dealt = source.mapInArrow(_to_fragments(words, bits), "fragment int, keys binary, sizes binary, counts binary, low binary, high binary")
+    shared = dealt.groupBy("fragment").applyInArrow(_count_fragment(bits), "home int, keys binary, sizes binary, counts binary, grams binary")
+    sets = cut(shared.groupBy("home").applyInArrow(_gather_sets(num, den), _SETS), "sets")
 
     links = cut(_linked(_leader_pairs(sets, num, den), sets, num, den), "links")
     for _ in range(STARS):
@@ -388,5 +388,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = classes.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
     root = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = named.join(root, "label").select("set_key", "component_id")
+    split = F.bitwise_not("label").alias("k")  # as in components: a very large component can be split
+    by_set = named.select("set_key", split).join(root.select(split, "component_id"), "k").select("set_key", "component_id")
     return profile.join(by_set, "set_key", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docflow.llm import components, dpbpe, heapbpe, jaccard, kernels, lines, lm, packing, quality, substring, topk, toxicity
+from docflow.llm import common, components, dpbpe, heapbpe, jaccard, kernels, lines, lm, packing, quality, substring, topk, toxicity
 
 from . import brute
 
@@ -19,6 +19,18 @@ tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string"
 
 
+@pytest.fixture(autouse=True)
+def many_small_pieces(monkeypatch):
+    """Small inputs go through several fragments, buckets and batches, as large ones do."""
+    monkeypatch.setattr(jaccard, "FRAGMENT_BYTES", 1)
+    monkeypatch.setattr(substring, "MINIMIZER_BYTES", 1)
+    monkeypatch.setattr(substring, "WINDOW_BYTES", 1)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 1)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 1)
+    monkeypatch.setattr(common, "ROW_BYTES", 60)
+
+
 def word(r):
     return "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5)))
 
