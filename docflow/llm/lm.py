@@ -29,7 +29,7 @@ from . import kernels as K
 from .common import pieces
 
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
-BACKOFF = 0.85
+BACKOFF = 0.65  # held-out scores of corpora of 10,000 documents are flat around it
 FOLDS, HELD_OUT = 7, 2
 _END = np.uint64(0x656E64206F662074)  # the end token, outside the hashes of words but for chance
 _START = np.uint64(0x7374617274206F66)
