@@ -421,3 +421,20 @@ def probe(endpoints: DataFrame, timeout: float = 1.5) -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "base_url", "models", "error"])
 
     return endpoints.select("name", "base_url").mapInPandas(run, "name string, base_url string, models array<string>, error string")
+
+
+#: Local model servers, in the order in which they are tried.
+LOCAL_SERVERS = (
+    ("LM Studio", "http://localhost:1234/v1"),
+    ("Ollama", "http://localhost:11434/v1"),
+    ("vLLM", "http://localhost:8000/v1"),
+    ("llama.cpp server", "http://localhost:8080/v1"),
+    ("Text Generation WebUI", "http://localhost:5000/v1"),
+)
+
+
+def discover(spark: SparkSession, timeout: float = 1.5) -> DataFrame:
+    """place, name, base_url, models, error of each local server, probed at the same time."""
+    rows = spark.createDataFrame([(i, *s) for i, s in enumerate(LOCAL_SERVERS)], "place int, name string, base_url string")
+    found = probe(rows.repartition(len(LOCAL_SERVERS), "base_url"), timeout)
+    return rows.join(found.select("base_url", "models", "error"), "base_url").select("place", "name", "base_url", "models", "error")

@@ -56,7 +56,7 @@ def write_files(rows: DataFrame, path: str = "destination", content: str = "text
 
 
 def put(path: str, data: bytes) -> int:
-    path = path.removeprefix("file://")
+    path = path.removeprefix("file://").removeprefix("file:")
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     part = f"{path}.{os.getpid()}.part"
     with open(part, "wb") as f:
