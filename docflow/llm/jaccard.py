@@ -34,7 +34,7 @@ from .common import cut, pieces
 from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4  # shingles of 5 words; similarity of 3/4 or more
-FRAGMENT_BYTES = 8 << 20  # input bytes whose n-grams one fragment counts
+FRAGMENT_BYTES = 6 << 20  # input bytes whose n-grams one fragment counts
 PARTS = 4  # ranges of the order (by its two leading bits) in which candidate pairs are counted
 LEADERS = 4  # min-hash groups per set
 STARS = 2  # rounds that link sets to the largest component they meet, before the rest is compared in pairs
@@ -151,6 +151,7 @@ def _count_fragment(bits: int):
         del row, once
         order = np.argsort(gram, kind="stable")
         gram, own = gram[order], own[order]
+        del order
         edge = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         df = np.diff(np.append(edge, len(gram)))
         df = np.repeat(df, df)
