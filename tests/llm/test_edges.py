@@ -167,6 +167,11 @@ def test_stages(spark, docs, empty, name):
     assert stage(spark, empty, "").collect() == []
 
 
+def test_near_duplicates_keep_one_of_each_group(spark, docs):
+    got = {r.doc_id for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    assert got == {1, 3, 4, 5, 6, 8, 9, 10, 11, 12, None}  # 2 repeats 1, 7 is near 6, 13 is 12 in capitals
+
+
 def test_last_stage(spark, docs, empty):
     stage = pipeline.STAGES[-1][1]
     assert stage(spark, docs, "").count() >= len(TEXTS)
