@@ -73,6 +73,15 @@ def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte by byte: the leading bytes are zeros, which shuffles compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _keys(raw: pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _train(table: pa.Table) -> np.ndarray:
     return table.column("train").to_numpy(zero_copy_only=False).astype(bool)
 
@@ -91,7 +100,7 @@ def _ask(buckets: int):
             row = [b]
             for (distinct, _, n), edge in zip(asked, bounds, strict=True):
                 j = slice(int(edge[b]), int(edge[b + 1]))
-                row += [distinct[j].tobytes(), n[j].astype(np.uint32).tobytes()]
+                row += [_planes(distinct[j]), n[j].astype(np.uint32).tobytes()]
             for x, v in zip(out, row, strict=True):
                 x.append(v)
         whole = pa.array([key[0].as_py()] * buckets, pa.int32())
@@ -105,7 +114,7 @@ def _sum_bucket(key: tuple, table: pa.Table) -> pa.Table:
     del key
     answers, stats = [], None
     for keys, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
-        k = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(keys)]
+        k = [_keys(x.as_buffer()) for x in table.column(keys)]
         c = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column(counts)])
         distinct, at = np.unique(np.concatenate(k), return_inverse=True)
         total = np.bincount(at, c, len(distinct)).astype(np.int64)
