@@ -33,6 +33,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of BATCH_ROWS, unless the session asks for other than Spark's default size.
+
+    Both sides of the pipe hold whole batches, and rows here are whole documents.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 UNKNOWN = 1 << 50
 
 

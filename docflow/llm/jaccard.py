@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, pieces
+from .common import cut, pieces, small_batches
 from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4  # shingles of 5 words; similarity of 3/4 or more
@@ -88,7 +88,7 @@ def _profile(n: int, id_name: str):
 
 def _to_fragments(n: int, bits: int):
     """Deal the n-grams of each distinct set of a batch to 2**bits fragments: one row per fragment and batch."""
-    hold = max(1_500_000, 60 << bits)  # n-grams of a batch: enough for rows of some size
+    hold = max(800_000, 60 << bits)  # n-grams of a batch: enough for rows of some size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -368,6 +368,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component unless its set links it to others. Repeated ids give a row each. Other
     columns of docs play no part, whatever their names.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     bits = (pieces(source, FRAGMENT_BYTES) - 1).bit_length()

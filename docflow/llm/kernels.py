@@ -11,12 +11,19 @@ depend on the bytes alone, so every executor and every run gives the same hashes
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+
+# Arrays of 2 MB or more go back to the system when they are freed, so that a worker which
+# stays alive between tasks holds no more than its task needs (3: glibc's M_MMAP_THRESHOLD).
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 2 << 20)
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8: the longest period modulo a power of two
 _MASK = (1 << 64) - 1
 

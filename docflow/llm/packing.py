@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import cut
+from .common import cut, small_batches
 
 SIZE, OPEN, MERGE, END_ID = 4096, 48, 128, 2
 CACHE, PIECE = 1_200_000, 2 << 20  # words that a worker remembers; bytes of text looked up together
@@ -318,6 +318,7 @@ def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         raise ValueError("size must be a power of two")
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType
     spark_schema = T.StructType([T.StructField("id", kind)])
