@@ -78,8 +78,8 @@ def set_keys(gram: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _profile(n: int, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 gram, first = shingle_sets(K.ids_of(part, "text"), n)
                 yield pa.RecordBatch.from_arrays([K.ids_of(part, id_name), pa.array(np.diff(first), pa.int64()), pa.array(set_keys(gram, first).view(np.int64))], names=[id_name, "n_shingles", "set_key"])
 
@@ -88,7 +88,7 @@ def _profile(n: int, id_name: str):
 
 def _to_fragments(n: int, bits: int):
     """Deal the n-grams of each distinct set of a batch to 2**bits fragments: one row per fragment and batch."""
-    hold = max(800_000, 60 << bits)  # n-grams of a batch: enough for rows of some size
+    hold = max(400_000, 60 << bits)  # n-grams of a batch: enough for rows of some size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -114,8 +114,8 @@ def _to_fragments(n: int, bits: int):
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["fragment", "keys", "sizes", "counts", "low", "high"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                gram, first = shingle_sets(K.ids_of(batch.slice(lo, 1000), "text"), n)
+            for lo in range(0, batch.num_rows, 500):
+                gram, first = shingle_sets(K.ids_of(batch.slice(lo, 500), "text"), n)
                 key, sizes = set_keys(gram, first), np.diff(first)
                 _, once = np.unique(key, return_index=True)  # copies within the batch go once
                 pick = np.zeros(len(key), bool)
@@ -128,6 +128,8 @@ def _to_fragments(n: int, bits: int):
                     held, size = [], 0
         if held:
             yield from flush()
+        held.clear()
+        K.trim()
 
     return run
 
@@ -170,6 +172,8 @@ def _count_fragment(bits: int):
             mine = sets[lo:hi]
             for x, v in zip(out, (h, names[mine].tobytes(), sizes[at[mine]].tobytes(), n[lo:hi].astype(np.uint32).tobytes(), packed[start[lo] : start[hi]].tobytes()), strict=True):
                 x.append(v)
+        del gram, own, df, packed, order
+        K.trim()
         return pa.table([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["home", "keys", "sizes", "counts", "grams"])
 
     return run

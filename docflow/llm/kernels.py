@@ -20,10 +20,21 @@ import pyarrow as pa
 
 PIECE = 1 << 20
 
-# Arrays of 2 MB or more go back to the system when they are freed, so that a worker which
-# stays alive between tasks holds no more than its task needs (3: glibc's M_MMAP_THRESHOLD).
+# Arrays of 512 KB or more go back to the system when they are freed, so that a worker which
+# stays alive between tasks holds no more than its task needs (-3: glibc's M_MMAP_THRESHOLD).
+_libc = None
 with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL("libc.so.6").mallopt(-3, 2 << 20)
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 512 << 10)
+
+
+def trim() -> None:
+    """Give back what freed buffers still hold."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8: the longest period modulo a power of two
 _MASK = (1 << 64) - 1
 
