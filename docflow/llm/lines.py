@@ -21,13 +21,21 @@ WHITE = " \t\x0b\f\r"
 SURE = 0.5  # estimates within this share of the threshold are counted exactly (over 7 standard errors)
 
 
-def boilerplate(docs: DataFrame, text: str, site: str, min_sites: int = MIN_SITES) -> DataFrame:
-    """line_hash of each line (cut at \\n, white space around it off) that stands on min_sites sites or more."""
+def boilerplate(docs: DataFrame, text: str, site: str, min_sites: int = MIN_SITES, copies: bool = True) -> DataFrame:
+    """line_hash of each line (cut at \\n, white space around it off) that stands on min_sites sites or more.
+
+    Without copies, texts of the same lines count for one site, the least of theirs.
+    """
     line = F.explode(F.split(F.col(text), "\n", -1))
     lines = docs.filter(F.col(site).isNotNull()).select(F.col(site).alias("site"), line.alias("line"))
     lines = lines.select(_hash("line").alias("line_hash"), F.xxhash64("site").alias("site")).filter("line_hash is not null")
     sketches = lines.groupBy("line_hash").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sites"), F.count("*").alias("n")).filter(F.col("n") >= min_sites)
     spread = cut(sketches.select("line_hash", F.hll_sketch_estimate("sites").alias("about")).filter(F.col("about") >= min_sites * (1 - SURE)), "spread")
+    if not copies:  # sites of all copies bound those of distinct texts from above, so only lines of the spread can qualify
+        keyed = docs.filter(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.col(text).alias("text"), _text_key(text).alias("text_key"))
+        held = keyed.select("site", "text_key", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("line_hash", _hash("line"))
+        held = held.join(spread.select("line_hash"), "line_hash").groupBy("line_hash", "text_key").agg(F.min("site").alias("site"))
+        return held.select("line_hash", "site").distinct().groupBy("line_hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("line_hash")
     sure = spread.filter(F.col("about") > min_sites * (1 + SURE)).select("line_hash")
     near = spread.filter(F.col("about") <= min_sites * (1 + SURE)).select("line_hash")
     exact = lines.join(near, "line_hash").distinct().groupBy("line_hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites)
@@ -40,7 +48,13 @@ def _hash(line: str):
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, carry: Sequence[str] = ()) -> DataFrame:
+def _text_key(text: str):
+    """Hash of a text's lines in order, without blank ones and the white space around them."""
+    bare = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)))
+    return F.xxhash64(F.filter(bare, lambda x: x != ""))
+
+
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, carry: Sequence[str] = (), copies: bool = True) -> DataFrame:
     """Remove lines that stand on min_sites distinct sites or more, from every document.
 
     Returns id_col, n_lines (lines that hold more than white space), n_removed, kept_text
@@ -48,11 +62,13 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of them. Lines are compared without the white space around them. A null site counts for
     no line but its documents lose boilerplate too. Null texts have no lines and an empty
     kept_text. Rows with equal ids are rows of their own. Other columns play no part.
+    Without copies, documents of the same lines count for one site, the least of theirs: a
+    document that is copied to many sites keeps its lines, and its copies theirs.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = [F.struct(*carry).alias("rest")] if carry else []
     source = docs.select(F.xxhash64(F.col(id_col), text).alias("row_key"), F.col(id_col).alias("doc_id"), F.col(site_col).alias("site"), text.alias("text"), *rest)
-    common = cut(boilerplate(source, "text", "site", min_sites).distinct(), "boilerplate")
+    common = cut(boilerplate(source, "text", "site", min_sites, copies).distinct(), "boilerplate")
     lines = source.select("row_key", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     hits = lines.select("row_key", "place", _hash("line").alias("line_hash")).join(common, "line_hash", "left_semi")
     gone = hits.groupBy("row_key").agg(F.collect_set("place").alias("gone"))

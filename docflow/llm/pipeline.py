@@ -37,8 +37,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that many sources carry; one of which nothing is left goes."""
-    out = _rewritten(remove_boilerplate(docs, carry=docs.columns), docs)
+    """Documents without lines that many sources carry; one of which nothing is left goes.
+
+    Copies of a document count for one source: the next stage keeps one of them.
+    """
+    out = _rewritten(remove_boilerplate(docs, carry=docs.columns, copies=False), docs)
     return out.filter(out.text.rlike(r"[^\x20\x09-\x0D]"))
 
 

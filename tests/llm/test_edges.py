@@ -172,6 +172,17 @@ def test_near_duplicates_keep_one_of_each_group(spark, docs):
     assert got == {1, 3, 4, 5, 6, 8, 10, 11, 12, None}  # 2 repeats 1, 7 is near 6, 9 near 8, 13 is 12 in capitals
 
 
+def test_a_document_copied_over_many_sources_is_kept_once(spark):
+    texts = [f"banner on all sites\n{' '.join(f'd{i}x{j}' for j in range(60))}\nlast line of {i}" for i in range(12)]
+    rows = [(100 * i + k, t + "\n" * (k % 2), f"s{(i + k) % 15}") for i, t in enumerate(texts) for k in range(15 if i == 0 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stages = dict(pipeline.STAGES)
+    lined = stages["line_dedup"](spark, docs, "")
+    assert lined.count() == len(rows)
+    got = {r.doc_id: r.text for r in stages["near_duplicates"](spark, lined, "").collect()}
+    assert got == {100 * i: t.split("\n", 1)[1] for i, t in enumerate(texts)}
+
+
 def test_last_stage(spark, docs, empty):
     stage = pipeline.STAGES[-1][1]
     assert stage(spark, docs, "").count() >= len(TEXTS)
