@@ -75,13 +75,13 @@ def set_keys(gram: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(n == 0, np.uint64(0), np.where(key == 0, np.uint64(1), key))
 
 
-def _profile(n: int, id_name: str):
+def _profile(n: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 gram, first = shingle_sets(K.ids_of(part, "text"), n)
-                yield pa.RecordBatch.from_arrays([K.ids_of(part, id_name), pa.array(np.diff(first), pa.int64()), pa.array(set_keys(gram, first).view(np.int64))], names=[id_name, "n_shingles", "set_key"])
+                yield pa.RecordBatch.from_arrays([*(K.ids_of(part, c) for c in names), pa.array(np.diff(first), pa.int64()), pa.array(set_keys(gram, first).view(np.int64))], names=[*names, "n_shingles", "set_key"])
 
     return run
 
@@ -361,7 +361,7 @@ def _meet(sets: DataFrame, links: DataFrame, make) -> DataFrame:
     return met.repartition("gram").sortWithinPartitions("gram").mapInArrow(make, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, row_col: str | None = None) -> DataFrame:
     """Link documents whose sets of `words`-word shingles have Jaccard similarity num/den or more.
 
     Returns id_col, n_shingles (size of the set), component_id (the smallest id that links
@@ -369,17 +369,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     U+0009..U+000D, A-Z in lower case. A text with fewer words than `words` has its whole
     sequence as its one shingle. Null or wordless texts have the empty set, link with
     nothing and are their own component. A row with a null id is kept, with a null
-    component unless its set links it to others. Repeated ids give a row each. Other
+    component unless its set links it to others. Repeated ids give a row each. If row_col
+    names a column (long), row_key has its values and component a number of the component,
+    apart even where rows of equal ids lie in different ones; null for the empty set. Other
     columns of docs play no part, whatever their names.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row_key")] if row_col else []))
     id_type = source.schema["doc_id"].dataType.simpleString()
     bits = (pieces(source, FRAGMENT_BYTES) - 1).bit_length()
-    profile = cut(source.mapInArrow(_profile(words, "doc_id"), f"doc_id {id_type}, n_shingles long, set_key long"), "profile")
+    names = ["doc_id", "row_key"] if row_col else ["doc_id"]
+    profile = cut(source.mapInArrow(_profile(words, names), f"doc_id {id_type}, {'row_key long, ' if row_col else ''}n_shingles long, set_key long"), "profile")
     classes = profile.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
 
-    dealt = source.mapInArrow(_to_fragments(words, bits), "fragment int, keys binary, sizes binary, counts binary, low binary, high binary")
+    dealt = source.select("doc_id", "text").mapInArrow(_to_fragments(words, bits), "fragment int, keys binary, sizes binary, counts binary, low binary, high binary")
     shared = dealt.groupBy("fragment").applyInArrow(_count_fragment(bits), "home int, keys binary, sizes binary, counts binary, grams binary")
     sets = cut(shared.groupBy("home").applyInArrow(_gather_sets(num, den), _SETS), "sets")
 
@@ -395,5 +398,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = classes.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
     root = named.groupBy("label").agg(F.min("least").alias("component_id"))
     split = F.bitwise_not("label").alias("k")  # as in components: a very large component can be split
-    by_set = named.select("set_key", split).join(root.select(split, "component_id"), "k").select("set_key", "component_id")
-    return profile.join(by_set, "set_key", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_set = named.select("set_key", split).join(root.select(split, "component_id"), "k").select("set_key", "component_id", F.col("k").alias("component"))
+    out = profile.join(by_set, "set_key", "left")
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["row_key", "component"] if row_col else []))

@@ -46,13 +46,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; rows of that id stay together.
+    """One row of each group of near duplicates: that of the smallest id, and of several such the least by a hash of all its columns.
 
-    Documents without an id stay unless they link to one that has an id.
+    Rows count one by one, whatever ids they share; a row without an id comes after those
+    that have one. A row that is repeated in all columns goes on once. Texts without words
+    link to nothing and stay.
     """
-    found = jaccard_components(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    row_key = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)).alias("row_key")  # null columns alone leave no trace in it
+    found = jaccard_components(docs.select("doc_id", "text", row_key), row_col="row_key").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = found.groupBy("component", "row_key").agg(F.count("*").alias("n"))
+    alone = F.when(F.col("component").isNull(), F.col("row_key"))  # texts without words are groups of their own
+    first = rows.groupBy("component", alone.alias("alone")).agg(F.min("row_key").alias("row_key"), F.min_by("n", "row_key").alias("n"))
+    kept = cut(first.select("row_key", "n"), "kept")
+    keyed = docs.select(row_key, F.struct(*docs.columns).alias("rest"))
+    once = keyed.join(kept.filter("n = 1"), "row_key", "left_semi")
+    again = keyed.join(kept.filter("n > 1"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return once.unionByName(again).select("rest.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

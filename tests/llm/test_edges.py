@@ -172,6 +172,18 @@ def test_near_duplicates_keep_one_of_each_group(spark, docs):
     assert got == {1, 3, 4, 5, 6, 8, 10, 11, 12, None}  # 2 repeats 1, 7 is near 6, 9 near 8, 13 is 12 in capitals
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    a, b, c, e, f = (" ".join(f"{x}{j}" for j in range(50)) for x in "abcef")
+    rows = [(1, a, "s"), (1, a, "s"), (2, b, "s"), (3, b, "s"), (3, c, "s"), (4, None, "s"), (5, "", None)]  # 1 is repeated; one row of 3 is a copy of 2
+    rows += [(None, a, "s"), (None, e, "s"), (None, e, "t"), (None, e + " x", None), (None, f, "s")]  # without ids: a copy of 1, a group, and one alone
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    stages = dict(pipeline.STAGES)
+    out = stages["near_duplicates"](spark, docs, "")
+    got = [(r.doc_id, (r.text or "").removesuffix(" x")) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (3, c), (4, ""), (5, ""), (None, e), (None, f)], key=repr)
+    assert stages["substring_dedup"](spark, out, "").count() == 5  # all but those without words
+
+
 def test_a_document_copied_over_many_sources_is_kept_once(spark):
     texts = [f"banner on all sites\n{' '.join(f'd{i}x{j}' for j in range(60))}\nlast line of {i}" for i in range(12)]
     rows = [(100 * i + k, t + "\n" * (k % 2), f"s{(i + k) % 15}") for i, t in enumerate(texts) for k in range(15 if i == 0 else 1)]
