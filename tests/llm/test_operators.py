@@ -107,34 +107,63 @@ def test_window_hashes_are_of_the_words_alone():
         assert len(set(kernels.windows(words, k).tolist())) == 500 - k + 1
 
 
+def walked(tokens, counts, m, root):
+    """log10 probability of a text by one walk from left to right over states, arcs and failure arcs."""
+    state, total = ("^", "^"), 0.0
+    while state and not counts[state]:
+        state = state[1:]
+    for x in tokens:
+        while state and not counts[*state, x]:  # no arc: fail
+            total += math.log10(m[len(state)] / (counts[state] + m[len(state)]))
+            state = state[1:]
+        total += math.log10(probability(state, x, counts, m, root))
+        state = (*state, x)[-2:]
+        while state and not counts[state]:
+            state = state[1:]
+    return total
+
+
+def probability(state, x, counts, m, root):
+    if not state:
+        return root(x)
+    k = len(state)
+    return (counts[*state, x] + m[k] * probability(state[1:], x, counts, m, root)) / (counts[state] + m[k]) if counts[state] else probability(state[1:], x, counts, m, root)
+
+
 def test_lm_scores(spark, corpus):
     docs = {k: v for k, v in corpus.items() if k < 150} | {1000: None, 1001: ""}
     got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(list(docs.items()), DOCS)).collect()}
-    tokens = {k: [*brute.WORDS((v or "").translate(brute.LOWER)), None] for k, v in docs.items()}
-    c, b = Counter(), Counter()
+    tokens = {k: [*brute.WORDS((v or "").translate(brute.LOWER)), "$"] for k, v in docs.items()}
+    grams = [Counter() for _ in range(3)]
     for k, t in tokens.items():
         if zlib.crc32(str(k).encode()) % 7 != 2:
-            c.update(t)
-            b.update(zip([0, *t[:-1]], t, strict=True))
-    n, v, ones, twos = sum(c.values()), len(c), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+            long = ["^", "^", *t]
+            for i, seen in enumerate(grams):
+                seen.update(tuple(long[j - i : j + 1]) for j in range(2, len(long)))
+    c = grams[0]
+    n, v, ones, twos = c.total(), len(c), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
     d = ones / (ones + 2 * twos)
-    uni = lambda x: (c[x] - d) / n if c[x] else d * v / n
-
-    def p(u, x):
-        seen = c[None] if u == 0 else c[u]
-        return (1 - lm.BACKOFF) * b[u, x] / seen + lm.BACKOFF * uni(x) if seen else uni(x)
-
+    root = lambda x: (c[(x,)] - d) / n if c[(x,)] else d * v / n
+    m = {k: lm.fitted(lm.failing_mass(np.array(list(grams[k - 1].values()))), sum(x == 1 for x in grams[k].values())) for k in (1, 2)}
+    counts = grams[0] + grams[1] + grams[2] + Counter({("^",): c[("$",)], ("^", "^"): c[("$",)]})
     for k, t in tokens.items():
         r = got[k]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(k).encode()) % 7 == 2, len(t), sum(c[x] > 0 for x in t), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(u, x)) for u, x in zip([0, *t[:-1]], t, strict=True)), rel_tol=1e-9)
-    for u in [0, *list(c)[:20]]:  # each state's weights sum to one, the unknown word's among them
-        assert math.isclose(sum(p(u, x) for x in c) + p(u, "never seen"), 1, rel_tol=1e-9)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(k).encode()) % 7 == 2, len(t), sum(c[(x,)] > 0 for x in t), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[(x,)] + 1) / (n + v + 1)) for x in t), rel_tol=1e-9)
+        assert math.isclose(r.score, walked(t, counts, m, root), rel_tol=1e-6)
+    for state in [(), ("^", "^"), *[g for g in [*grams[0], *grams[1]] if g[-1] != "$"][:40]]:  # each state's weights sum to one, the unknown word's among them
+        assert math.isclose(sum(probability(state, x, counts, m, root) for (x,) in c) + probability(state, "never seen", counts, m, root), 1, rel_tol=1e-9)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_backoff_follows_the_counts():
+    few, many = np.full(1000, 3), np.full(1000, 300)
+    for counts in (few, many):  # states seen alike: the failing mass fitted is that asked for
+        m = lm.fitted(lm.failing_mass(counts), counts.sum() * 0.2)
+        assert math.isclose(m / (counts[0] - 1 + m), 0.2, rel_tol=0.15)
+
+
 def fuzz(seed, n, alphabet, specials):
     r = random.Random(seed)
     out = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(n)]
