@@ -17,19 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 PIECE = 1 << 20
 
-# Arrays of 512 KB or more go back to the system when they are freed, so that a worker which
-# stays alive between tasks holds no more than its task needs (-3: glibc's M_MMAP_THRESHOLD).
+# In Python workers, which stay alive between tasks, arrays of 512 KB or more go back to the
+# system when they are freed (-3: glibc's M_MMAP_THRESHOLD). The driver's process is left as it is.
 _libc = None
-with contextlib.suppress(OSError, AttributeError):
-    _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 512 << 10)
+if TaskContext.get() is not None:
+    with contextlib.suppress(OSError, AttributeError):
+        _libc = ctypes.CDLL("libc.so.6")
+        _libc.mallopt(-3, 512 << 10)
 
 
 def trim() -> None:
-    """Give back what freed buffers still hold."""
+    """Give back what a worker's freed buffers still hold."""
     pa.default_memory_pool().release_unused()
     if _libc is not None and hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
