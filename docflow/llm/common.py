@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,27 +12,45 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where none is set and everything runs in one local process (tests), a temporary folder
+    of this machine; on a cluster that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/docflow-checkpoints"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        path = os.path.join(tempfile.gettempdir(), "docflow-checkpoints")
     return path.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there.
 
     The table survives the loss of any executor, and a branch that reads it twice does
-    not run what made it twice. The folder goes when the session's JVM ends.
+    not run what made it twice. The folder goes when the session's JVM ends, or with discard.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, folder = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that cut made of df, once nothing reads it any more."""
+    fs, folder = _folder(df.sparkSession, df._cut_path)
+    fs.delete(folder, True)
 
 
 BATCH_ROWS = 2000

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null and a <> b").distinct(), "edges")
     before = None
     for _ in range(rounds):
-        edges = cut(_star(_star(edges, True), False), "edges")
+        spent, edges = edges, cut(_star(_star(edges, True), False), "edges")
+        discard(spent)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
