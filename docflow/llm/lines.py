@@ -3,7 +3,8 @@
 Each line hash gets a HyperLogLog sketch of its sites, merged by aggregation: partial
 sketches before the shuffle, so that a line on a third of all pages moves as a few small
 sketches. Lines clearly below or above the threshold are decided by the sketch; those whose
-estimate lies near it have their distinct sites counted exactly.
+estimate lies near it have their distinct sites counted exactly. Lines of fewer than
+MIN_WORDS words are no boilerplate: in a large corpus ordinary short lines stand everywhere.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MIN_SITES = 10
+MIN_SITES, MIN_WORDS = 10, 3
 LOG_K = 8  # 2**8 registers: a relative error of about 1.04 / 16
-WHITE = " \t\x0b\f\r"
+WHITE, _WHITE = " \t\x0b\f\r", r" \t\x0b\f\r"
 SURE = 0.5  # estimates within this share of the threshold are counted exactly (over 7 standard errors)
 
 
 def boilerplate(docs: DataFrame, text: str, site: str, min_sites: int = MIN_SITES, copies: bool = True) -> DataFrame:
-    """line_hash of each line (cut at \\n, white space around it off) that stands on min_sites sites or more.
+    """line_hash of each line (cut at \\n, white space around it off) of MIN_WORDS words or more that stands on min_sites sites or more.
 
     Without copies, texts of the same lines count for one site, the least of theirs.
     """
@@ -42,10 +43,10 @@ def boilerplate(docs: DataFrame, text: str, site: str, min_sites: int = MIN_SITE
     return sure.unionByName(exact.select("line_hash"))
 
 
-def _hash(line: str):
-    """Hash of a line without the white space around it; null for a blank line."""
+def _hash(line: str, min_words: int = MIN_WORDS):
+    """Hash of a line without the white space around it; null for a line of fewer than min_words words."""
     bare = F.btrim(F.col(line), F.lit(WHITE))
-    return F.when(bare != "", F.xxhash64(bare))
+    return F.when(bare.rlike(rf"^(?:[^{_WHITE}]+[{_WHITE}]+){{{min_words - 1}}}[^{_WHITE}]"), F.xxhash64(bare))
 
 
 def _text_key(text: str):
@@ -55,7 +56,7 @@ def _text_key(text: str):
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, carry: Sequence[str] = (), copies: bool = True) -> DataFrame:
-    """Remove lines that stand on min_sites distinct sites or more, from every document.
+    """Remove lines of MIN_WORDS words or more that stand on min_sites distinct sites or more, from every document.
 
     Returns id_col, n_lines (lines that hold more than white space), n_removed, kept_text
     (the other lines in order, joined by \\n) and, if carry names columns, `rest`, a struct
@@ -71,9 +72,19 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = cut(boilerplate(source, "text", "site", min_sites, copies).distinct(), "boilerplate")
     lines = source.select("row_key", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     hits = lines.select("row_key", "place", _hash("line").alias("line_hash")).join(common, "line_hash", "left_semi")
-    gone = hits.groupBy("row_key").agg(F.collect_set("place").alias("gone"))
+    gone = hits.groupBy("row_key").agg(F.array_sort(F.collect_set("place")).alias("gone"))
     out = source.join(gone, "row_key", "left")
-    split = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    solid = F.size(F.filter(split, lambda x: F.btrim(x, F.lit(WHITE)) != "")).cast("long")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_without(F.split("text", "\n", -1), F.col("gone")), "\n"))
+    solid = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")).cast("long")
     return out.select(F.col("doc_id").alias(id_col), *(["rest"] if carry else []), solid.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
+
+
+def _without(parts, gone):
+    """parts without the places in gone (ascending): the runs between them, so each part is copied once."""
+    upto = F.concat(gone, F.array(F.size(parts)))
+    runs = lambda xs: F.flatten(F.transform(upto, lambda end, i: _run(xs, F.when(i > 0, F.get(gone, i - 1) + 1).otherwise(0), end)))
+    return F.get(F.transform(F.array(parts), runs), F.lit(0))  # bound in a lambda: split once
+
+
+def _run(xs, start, end):
+    return F.slice(xs, start + 1, end - start)

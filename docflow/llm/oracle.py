@@ -37,6 +37,6 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_line_dedup": r"""WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 b AS (SELECT *, trim(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS y FROM l),
-c AS (SELECT y FROM b WHERE y <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10)
+c AS (SELECT y FROM b WHERE len(list_filter(string_split(y, ' '), lambda w: w <> '')) >= 3 GROUP BY 1 HAVING count(DISTINCT source) >= 10)
 SELECT doc_id, count(*) FILTER (WHERE b.y <> '')::BIGINT AS n_lines, count(c.y)::BIGINT AS n_removed, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE c.y IS NULL), '')) AS kept_sha256 FROM b LEFT JOIN c USING (y) GROUP BY 1""",
 }

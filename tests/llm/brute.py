@@ -58,11 +58,11 @@ def quality(text):
 
 
 def boilerplate(rows, least):
-    """(text, site) -> texts without lines that stand on `least` sites or more."""
+    """(text, site) -> texts without lines of three words or more that stand on `least` sites or more."""
     sites = defaultdict(set)
     bare = lambda x: x.strip(" \t\x0b\x0c\r")
     for text, site in rows:
         for x in (text or "").split("\n"):
-            if bare(x) and site is not None:
+            if len(WORDS(x)) >= 3 and site is not None:
                 sites[bare(x)].add(site)
     return ["\n".join(x for x in (t or "").split("\n") if len(sites.get(bare(x), ())) < least) for t, _ in rows]
