@@ -158,6 +158,11 @@ def test_topk(spark):
     assert topk.top_k(table.limit(0)).collect() == []
 
 
+def test_topk_query_of_a_repeated_id(spark):
+    table = spark.createDataFrame([(100, [2.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert rows(topk.top_k(table), "query_id", "rank", "vec_id", "score") == [(100, 1, 1, 1024 * 1024)]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES[:-1]])
 def test_stages(spark, docs, empty, name):
     stage = dict(pipeline.STAGES)[name]
