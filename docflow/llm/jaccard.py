@@ -16,6 +16,10 @@ join different components make pairs. Equal sets
 are one class from the start. No link between different sets is lost: a pair is skipped
 only if a bound proves it below the threshold or it is known to be connected.
 
+An n-gram or min-hash value that very many sets share is split: min-hash groups have leaders
+by parts first, which then have one leader, and the k sets of an n-gram are dealt to about
+sqrt(k / 64) parts, each pair of which is a group of its own.
+
 Sets of 64-bit hashes stand for the sets of n-grams. A fragment's number is their leading
 bits; within it the last 48 are kept.
 """
@@ -39,6 +43,8 @@ PARTS = 4  # ranges of the order (by its two leading bits) in which candidate pa
 LEADERS = 4  # min-hash groups per set
 STARS = 2  # rounds that link sets to the largest component they meet, before the rest is compared in pairs
 BITMAP = 8  # 64-bit words of a set's parity bitmap
+SALTS = 16  # parts of a min-hash group
+SPLIT = 64  # an n-gram's k sets are dealt to sqrt(k / SPLIT) parts
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -249,35 +255,47 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _leader_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Each set with the least set of each of its min-hash groups."""
-    keyed = sets.select("set_key", "n", F.posexplode("leads").alias("j", "lead"))
-    least = keyed.groupBy("j", "lead").agg(F.min(F.struct("n", "set_key")).alias("m"), F.count("*").alias("size")).filter("size > 1").select("j", "lead", "m")
-    pairs = keyed.join(least, ["j", "lead"]).filter((F.col("m.set_key") != F.col("set_key")) & (num * F.col("n") <= den * F.col("m.n")))
+    """Each set with the least set of its part of each of its min-hash groups, and those with the least of the whole group."""
+    salt = F.pmod(F.xxhash64("set_key"), F.lit(SALTS)).alias("salt")
+    keyed = sets.select("set_key", "n", salt, F.posexplode("leads").alias("j", "lead"))
+    parts = keyed.groupBy("j", "lead", "salt").agg(F.min(F.struct("n", "set_key")).alias("m"), F.count("*").alias("size"))
+    tops = parts.groupBy("j", "lead").agg(F.min("m").alias("m"), F.count("*").alias("size")).filter("size > 1").select("j", "lead", "m")
+    in_part = keyed.join(parts.filter("size > 1").select("j", "lead", "salt", "m"), ["j", "lead", "salt"])
+    of_tops = parts.select("j", "lead", "m.set_key", "m.n").join(tops, ["j", "lead"])
+    pairs = in_part.select("set_key", "n", "m").unionByName(of_tops.select("set_key", "n", "m"))
+    pairs = pairs.filter((F.col("m.set_key") != F.col("set_key")) & (num * F.col("n") <= den * F.col("m.n")))
     return pairs.select(F.greatest("set_key", "m.set_key").alias("a"), F.least("set_key", "m.set_key").alias("b")).distinct()
 
 
 def _by_gram(make):
-    """mapInArrow over rows sorted by gram: make(whole groups' columns, their bounds) -> pairs (a, b)."""
+    """mapInArrow over rows sorted by (gram, p, q): make(whole groups' columns, their bounds) -> pairs (a, b)."""
+
+    def key(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return np.stack([table.column(table.schema.get_field_index(c)).to_numpy() for c in ("gram", "p", "q")], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[pa.RecordBatch] = []  # the group that is not yet over
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            gram = table.column("gram").to_numpy()
-            last = int(np.searchsorted(gram, gram[-1], "left")) if len(gram) else 0
-            rest = table.slice(last)
-            if last:
-                yield from done(table.slice(0, last))
-        if rest is not None and rest.num_rows:
-            yield from done(rest)
+            if not batch.num_rows:
+                continue
+            keys = key(batch)
+            same = (keys == keys[-1]).all(1)
+            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if last or (held and (key(held[-1])[-1] != keys[-1]).any()):
+                yield from done(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram, sets, n, m, label = (table.column(c).to_numpy() for c in ("gram", "set_key", "n", "m", "label"))
+        keys = key(table)
+        sets, n, m, label, part = (table.column(c).to_numpy() for c in ("set_key", "n", "m", "label", "part"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(sets), BITMAP)
-        order = np.lexsort((sets, n, gram))
-        cols = {"set_key": sets[order], "n": n[order], "m": m[order], "label": label[order], "bits": bits[order]}
-        gram = gram[order]
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram))
+        order = np.lexsort((sets, n, keys[:, 2], keys[:, 1], keys[:, 0]))
+        keys = keys[order]
+        cols = {"set_key": sets[order], "n": n[order], "m": m[order], "label": label[order], "part": part[order], "alone": keys[:, 1] == keys[:, 2], "bits": bits[order]}
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])), len(keys))
         a, b = make(cols, bounds)
         a, b = np.maximum(a, b), np.minimum(a, b)
         if len(a):
@@ -292,6 +310,7 @@ def _near(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarr
     n, m, bits = x["n"], x["m"], x["bits"]
     apart = np.bitwise_count(bits[i] ^ bits[j]).sum(-1).astype(np.int64)
     ok = (x["label"][i] != x["label"][j]) & (num * np.maximum(n[i], n[j]) <= den * np.minimum(n[i], n[j]))
+    ok &= x["alone"][i] | (x["part"][i] != x["part"][j])  # two parts together: only pairs between them
     return ok & ((num + den) * (m[i] + m[j] - apart) >= 2 * num * (n[i] + n[j]))  # overlap <= (m_i + m_j - apart) / 2
 
 
@@ -351,14 +370,36 @@ def _cross_pairs(num: int, den: int):
     return _by_gram(make)
 
 
-def _meet(sets: DataFrame, links: DataFrame, make) -> DataFrame:
-    """Pairs that `make` forms of sets of different components that share a prefix n-gram."""
-    labels = components(links).withColumnRenamed("node", "set_key")
-    labelled = cut(sets.select("set_key", "n", "head").join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, label) after more links: only the links between components take part."""
+    if labels is None:
+        return cut(components(links), "labels")
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    met = components(named.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    met = cut(met, "met")
+    moved = labels.join(met.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = met.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return cut(moved.unionByName(new), "labels")
+
+
+def _meet(sets: DataFrame, labels: DataFrame, make, both: bool) -> DataFrame:
+    """Pairs that `make` forms of sets of different components that share a prefix n-gram.
+
+    The sets of an n-gram come in parts: each for itself or, with `both`, each two of them.
+    """
+    labelled = cut(sets.select("set_key", "n", "head").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labelled")
     posts = labelled.mapInArrow(_explode_heads, "gram long, set_key long, n long, label long")
-    mixed = posts.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("gram")
-    met = posts.join(mixed, "gram").join(sets.select("set_key", "bits", "m"), "set_key")
-    return met.repartition("gram").sortWithinPartitions("gram").mapInArrow(make, "a long, b long").distinct()
+    mixed = posts.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
+    mixed = mixed.select("gram", F.ceil(F.sqrt(F.col("k") / SPLIT)).cast("int").alias("parts"))
+    met = posts.join(mixed, "gram").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
+    if both:
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        met = met.withColumn("other", other).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("other")
+    else:
+        met = met.withColumns({"p": F.col("part"), "q": F.col("part")})
+    met = met.drop("parts").join(sets.select("set_key", "bits", "m"), "set_key")
+    return met.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q").mapInArrow(make, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, row_col: str | None = None) -> DataFrame:
@@ -383,17 +424,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = profile.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
 
     dealt = source.select("doc_id", "text").mapInArrow(_to_fragments(words, bits), "fragment int, keys binary, sizes binary, counts binary, low binary, high binary")
-    shared = dealt.groupBy("fragment").applyInArrow(_count_fragment(bits), "home int, keys binary, sizes binary, counts binary, grams binary")
-    sets = cut(shared.groupBy("home").applyInArrow(_gather_sets(num, den), _SETS), "sets")
+    shared = dealt.repartition(1 << bits, "fragment").groupBy("fragment").applyInArrow(_count_fragment(bits), "home int, keys binary, sizes binary, counts binary, grams binary")
+    sets = cut(shared.repartition(1 << bits, "home").groupBy("home").applyInArrow(_gather_sets(num, den), _SETS), "sets")
 
-    links = cut(_linked(_leader_pairs(sets, num, den), sets, num, den), "links")
+    labels = _merged(None, _linked(_leader_pairs(sets, num, den), sets, num, den))
     for _ in range(STARS):
-        new = cut(_linked(_meet(sets, links, _star_pairs(num, den)), sets, num, den), "links")
+        new = cut(_linked(_meet(sets, labels, _star_pairs(num, den), False), sets, num, den), "links")
         if new.isEmpty():
             break
-        links = links.unionByName(new)
-    links = links.unionByName(_linked(_meet(sets, links, _cross_pairs(num, den)), sets, num, den))
-    labels = components(links)
+        labels = _merged(labels, new)
+    labels = _merged(labels, _linked(_meet(sets, labels, _cross_pairs(num, den), True), sets, num, den))
 
     named = classes.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
     root = named.groupBy("label").agg(F.min("least").alias("component_id"))
