@@ -1,12 +1,14 @@
 """Toxicity by a classifier chain of linear models over hashed words, word prefixes and marks of form.
 
 Categories are predicted in a fixed order. The model of each category sees the words and
-the log-odds that the models before it give. In training those log-odds are out of fold:
-each labelled row's come from models that did not see the row, as they will at prediction.
-
-Labels are learned from a bounded sample (SAMPLE rows, the least hashes of their ids); its
-features go to the driver. The model is at most FEATURES weights per category and goes to
-the executors. Scoring is one pass over the documents with no shuffle.
+the probabilities that the models before it give. In training those are out of fold: each
+labelled row's come from models that did not see the row, as they will at prediction.
+
+Labels are learned from a bounded sample (SAMPLE ids, those of the least hashes). Spark
+counts its features; the CANDIDATES of highest chi-square go to the driver, of each row
+those it has, so that neither rows nor their lengths are unbounded there. The model is at
+most FEATURES weights per category and goes to the executors. Scoring is one pass over the
+documents with no shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import cut
 
 #: Category -> SQL condition over the label columns, in chain order.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 SAMPLE, FEATURES, FOLDS, LEAST = 12_000, 1024, 4, 5
+CANDIDATES = 1 << 14
 CHI = 25.0  # features below this chi-square are left out
 BITS = 22  # features are hashed to 2**BITS
 PREFIXES = (4, 5, 6)  # bytes of a word's prefix
@@ -73,7 +77,7 @@ def _shapes(raw: np.ndarray, starts: np.ndarray, words: np.ndarray) -> Iterator[
 
 @dataclass
 class Linear:
-    """A logistic model over chosen hashed features and the chain's log-odds."""
+    """A logistic model over chosen hashed features and the chain's probabilities."""
 
     chosen: np.ndarray  # sorted
     weight: np.ndarray
@@ -118,60 +122,105 @@ def fit(doc: np.ndarray, feature: np.ndarray, chain: np.ndarray, y: np.ndarray,
 
 
 def fit_chain(doc: np.ndarray, feature: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
-    """A model per column of labels; the inputs that later models get are out-of-fold log-odds."""
+    """A model per column of labels; the inputs that later models get are out-of-fold probabilities.
+
+    A row whose label in a column is not a number teaches that column's model nothing.
+    """
     n, k = labels.shape
     fold, chain, models = np.arange(n) % folds, np.zeros((n, 0)), []
+
+    def fitted(c: int, seen: np.ndarray) -> Linear:
+        new, mine = np.cumsum(seen) - 1, seen[doc]
+        return fit(new[doc[mine]], feature[mine], chain[seen], labels[seen, c])
+
     for c in range(k):
-        y = labels[:, c]
-        models.append(fit(doc, feature, chain, y))
+        known = ~np.isnan(labels[:, c])
+        models.append(fitted(c, known))
         if c + 1 < k:
             out = np.zeros(n)
             for f in range(folds):
-                seen = fold != f
-                new = np.cumsum(seen) - 1
-                mine = seen[doc]
-                model = fit(new[doc[mine]], feature[mine], chain[seen], y[seen])
-                out[~seen] = model.logit(doc, feature, chain)[~seen]
-            chain = np.concatenate([chain, np.clip(out, -15, 15)[:, None]], 1)
+                out[fold == f] = fitted(c, known & (fold != f)).logit(doc, feature, chain)[fold == f]
+            chain = np.concatenate([chain, _probability(out)[:, None]], 1)
     return models
 
 
+def _probability(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -15, 15)))
+
+
 def predict(models: list[Linear], doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
     """Probabilities of each category, a column each."""
     chain = np.zeros((n, 0))
     for model in models:
-        chain = np.concatenate([chain, np.clip(model.logit(doc, feature, chain), -15, 15)[:, None]], 1)
-    return 1 / (1 + np.exp(-chain))
+        chain = np.concatenate([chain, _probability(model.logit(doc, feature, chain))[:, None]], 1)
+    return chain
+
+
+def candidates(rows: DataFrame, k: int, size: int = CANDIDATES) -> np.ndarray:
+    """The `size` features of rows (text, y0, y1, ...) with the highest chi-square for any of k labels, in ascending order."""
+    names = [f"{x}{i}" for i in range(k) for x in "np"]  # labelled rows with the feature, and positive ones among them
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                doc, feature = features(K.ids_of(part, "text"))
+                found, at = np.unique(feature, return_inverse=True)
+                sums = []
+                for y in _labels(part, k).T:
+                    sums += [np.bincount(at, ~np.isnan(y[doc]), len(found)), np.bincount(at, np.nan_to_num(y[doc]), len(found))]
+                yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(x.astype(np.int64)) for x in sums)], names=["feature", *names])
+
+    counts = rows.mapInArrow(count, "feature long, " + ", ".join(f"{x} long" for x in names)).groupBy("feature").agg(*(F.sum(x).alias(x) for x in names))
+    total = rows.agg(*(F.count(f"y{i}").alias(f"n{i}") for i in range(k)), *(F.count_if(f"y{i}").alias(f"p{i}") for i in range(k))).first()
+    score = F.lit(0.0)
+    for i in range(k):
+        share = total[f"p{i}"] / total[f"n{i}"] if total[f"n{i}"] else 0.0
+        if 0 < share < 1:
+            n = F.col(f"n{i}")
+            score = F.greatest(score, F.when(n >= LEAST, (F.col(f"p{i}") - n * share) ** 2 / (n * share * (1 - share))).otherwise(0.0))
+    best = counts.withColumn("chi", score).filter("chi > 0").orderBy(F.desc("chi"), "feature").limit(size)
+    return np.sort(best.select("feature").toArrow().column("feature").to_numpy())
+
+
+def _labels(batch: pa.RecordBatch | pa.Table, k: int) -> np.ndarray:
+    """A column of 0, 1 or, for null, not a number for each label."""
+    return np.stack([batch.column(f"y{i}").cast(pa.int8()).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(k)], 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict[str, str] | None = None, sample: int = SAMPLE) -> list[Linear]:
-    """Fit the chain on at most `sample` labelled rows: those whose ids have the least hashes.
+    """Fit the chain on at most `sample` labelled ids: those with the least hashes.
 
-    Rows without a document, with a null id or with a label that decides no category are left out.
+    Rows without a document or with a null id are left out, and so is, for one category, a
+    row whose label does not decide it. An id that is labelled more than once has a category
+    if any of its rows says so; each of its documents is a row.
     """
     rules = list((categories or CATEGORIES).values())
-    named = labels.select(F.col(id_col).alias("id"), *(F.expr(r).alias(f"y{i}") for i, r in enumerate(rules))).dropna().dropDuplicates(["id"])
-    few = named.orderBy(F.xxhash64("id"), "id").limit(sample)
+    ys = [f"y{i}" for i in range(len(rules))]
+    named = labels.select(F.col(id_col).alias("id"), *(F.expr(r).alias(y) for r, y in zip(rules, ys, strict=True))).filter("id is not null").groupBy("id").agg(*(F.bool_or(y).alias(y) for y in ys))
+    few = named.filter(F.coalesce(*ys).isNotNull()).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(few), "id")  # at most `sample` ids
+    rows = cut(texts.join(F.broadcast(few), "id").select(F.xxhash64("id", "text").alias("h"), "text", *ys), "labelled")  # at most `sample` ids
+    chosen = candidates(rows, len(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 doc, feature = features(K.ids_of(part, "text"))
+                kept = np.isin(feature, chosen)
+                doc, feature = doc[kept], feature[kept]
                 at = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 blob = feature.astype(np.int32).tobytes()
                 packed = [blob[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([K.ids_of(part, "h"), pa.array(packed, pa.binary()), *(K.ids_of(part, f"y{i}") for i in range(len(rules)))], names=["h", "found", *(f"y{i}" for i in range(len(rules)))])
+                yield pa.RecordBatch.from_arrays([K.ids_of(part, "h"), pa.array(packed, pa.binary()), *(K.ids_of(part, y) for y in ys)], names=["h", "found", *ys])
 
-    schema = "h long, found binary, " + ", ".join(f"y{i} boolean" for i in range(len(rules)))
-    got = rows.withColumn("h", F.xxhash64("id", "text")).select("h", "text", *(f"y{i}" for i in range(len(rules)))).mapInArrow(run, schema).toArrow().sort_by("h")
+    schema = "h long, found binary, " + ", ".join(f"{y} boolean" for y in ys)
+    got = rows.mapInArrow(run, schema).toArrow().sort_by("h")
     found = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("found")]
     doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
     feature = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
-    y = np.stack([got.column(f"y{i}").to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(rules))], 1)
-    return fit_chain(doc, feature, y)
+    return fit_chain(doc, feature, _labels(got, len(rules)))
 
 
 def score(docs: DataFrame, models: list[Linear], id_col: str = "doc_id", text_col: str = "text", categories: dict[str, str] | None = None) -> DataFrame:

@@ -273,6 +273,12 @@ def test_search_prunes_and_is_exact():
         want = [j for j in np.lexsort((ids, -all_scores)) if j != q][:10]
         assert i.tolist() == want and s.tolist() == all_scores[want].tolist()
     assert visited < len(queries) * (3200 // topk.BLOCK) / 2
+    sample = topk.Sample(ids[::4], x[::4])
+    assert len(set(sample.home(ids, x, 8).tolist())) == 8
+    far = np.flatnonzero(sample.home(ids, x, 8) == sample.home(ids[:1], x[:1], 8)[0])  # a group that holds few queries' neighbours
+    floors = sample.floors(queries, x[queries], 10)
+    scored = topk.search(x[queries], queries, x[far], ids[far], 10, floor=floors)[2]
+    assert (floors <= score[:, 9]).all() and scored < topk.search(x[queries], queries, x[far], ids[far], 10)[2] / 2
 
 
 def test_toxicity_on_held_out_rows():
@@ -298,6 +304,46 @@ def test_toxicity_on_held_out_rows():
     assert ((p > 0.5) == (y[1000:] > 0.5)).mean() > 0.99
 
 
+def test_the_chain_learns_from_rows_its_inputs_did_not_see(monkeypatch):
+    r = np.random.default_rng(1)
+    n, doc, feature = 200, [], []
+    for i in range(n):
+        for f in r.choice(50, 8, replace=False):
+            doc.append(i)
+            feature.append(int(f))
+    doc, feature = np.array(doc), np.array(feature)
+    labels = (r.random((n, 2)) < 0.3).astype(float)
+    labels[::17, 0] = np.nan  # no label of the first category
+    calls, fit = [], toxicity.fit
+    marked = np.concatenate([feature, 1000 + np.arange(n)])  # a feature of its own tells each row
+    rows = np.concatenate([doc, np.arange(n)])
+
+    def watched(doc, feature, chain, y, **kw):
+        model = fit(doc, feature, chain, y, **kw)
+        calls.append((set(feature[feature >= 1000] - 1000), chain, model))
+        return model
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    toxicity.fit_chain(rows, marked, labels, folds=4)
+    known = {i for i in range(n) if i % 17}
+    whole, *folds, second = calls
+    assert whole[0] == known and len(folds) == 4 and second[0] == set(range(n))
+    for f, (seen, _, model) in enumerate(folds):  # a fold's model saw none of it, and gave the second model's inputs there
+        mine = [i for i in range(n) if i % 4 == f]
+        assert seen == known - set(mine)
+        want = 1 / (1 + np.exp(-np.clip(model.logit(rows, marked, np.zeros((n, 0))), -15, 15)))
+        assert np.allclose(second[1][mine, 0], want[mine])
+    assert np.ptp(second[1]) > 0
+
+
+def test_labels_that_disagree_or_lack_a_category(spark):
+    docs = spark.createDataFrame([(i, "vile words here" if i % 2 else "kind words there") for i in range(200)], DOCS)
+    labels = [(i, None, i % 2) for i in range(200)] + [(1, None, 0), (3, None, None)]
+    models = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = toxicity.score(docs, models).collect()
+    assert all((x.p_toxic > 0.5) == bool(x.doc_id % 2) for x in got)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     r = random.Random(4)
     good = [" ".join(word(r) for _ in range(70)) for _ in range(40)]
