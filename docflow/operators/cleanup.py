@@ -181,15 +181,18 @@ def list_continuations(lines: DataFrame) -> DataFrame:
     breaks = F.col("in_fence") | L.blank() | item | T.has("line", L.BLOCK_START) | F.coalesce(ends, F.lit(False))
     out = lines.withColumns({"_brk": breaks, "_item": item & ~F.col("in_fence")})
     out = out.withColumn("_grp", F.sum(F.col("_brk").cast("int")).over(L.upto()))
-    island = Window.partitionBy(L.KEY, "_grp").orderBy("line_no")
-    every = island.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumns({"_list": F.first(F.col("_item") & F.col("_brk")).over(every), "_rank": F.row_number().over(island), "_all": F.collect_list("line").over(every)})
-    fold = F.col("_list") & (F.size("_all") > 1)
-    joined = F.concat_ws(" ", T.rstrip(F.get("_all", F.lit(0))), F.array_join(F.transform(F.slice("_all", 2, F.size("_all")), lambda x: T.strip(x)), " "))
+    island = Window.partitionBy(L.KEY, "_grp").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    listed = F.first(F.col("_item") & F.col("_brk")).over(island)
+    out = out.withColumn("_head", F.when(listed, F.first("line_no").over(island)).otherwise(F.col("line_no")))
     counts = [c for c in lines.columns if c.startswith("n_")]  # a folded line's counts go to its item
-    out = out.withColumns({c: F.when(F.col("_list"), F.sum(c).over(every)).otherwise(F.col(c)) for c in counts})
-    out = out.filter(~F.col("_list") | (F.col("_rank") == 1))
-    return _counted(out, "rejoin", fold, joined, F.size("_all") - 1).drop("_brk", "_item", "_grp", "_list", "_rank", "_all")
+    rest = [c for c in lines.columns if c not in (L.KEY, "line", "line_no", *counts)]
+    parts = F.sort_array(F.collect_list(F.struct("line_no", "line")))  # each line is gathered once, with its item
+    packed = out.groupBy(L.KEY, F.col("_head").alias("line_no")).agg(parts.alias("_all"), *(F.sum(c).alias(c) for c in counts), *(F.min_by(c, "line_no").alias(c) for c in rest))
+    more = F.transform(F.slice("_all", 2, F.size("_all")), lambda x: T.strip(x["line"]))
+    first = F.get("_all", F.lit(0))["line"]
+    packed = packed.withColumn("line", F.when(F.size("_all") > 1, F.concat_ws(" ", T.rstrip(first), F.array_join(more, " "))).otherwise(first))
+    packed = packed.withColumn("n_rejoin", F.size("_all") - 1)
+    return packed.select(*lines.columns, "n_rejoin")
 
 
 def bare_callouts(lines: DataFrame) -> DataFrame:
@@ -199,7 +202,7 @@ def bare_callouts(lines: DataFrame) -> DataFrame:
 
 
 def _list_fold(items: Column) -> Column:
-    """R12's blocks: (line_no, num, block, rank) of each ordered item, block 0 for items inside another list's block.
+    """R12's blocks: (num, block, rank) of each ordered item, block 0 for items inside another list's block.
 
     A block goes on as long as lines are its items, blank, or start with its indent and a
     space. That depends on its first item, so it is a fold over the items in order. lo and hi
@@ -209,7 +212,7 @@ def _list_fold(items: Column) -> Column:
     start = F.struct(
         F.lit(None).cast("string").alias("indent"), F.lit(None).cast("string").alias("delim"), F.lit(0).alias("block"), F.lit(0).alias("rank"),
         F.lit(None).cast("string").alias("lo"), F.lit(None).cast("string").alias("hi"), F.lit(False).alias("cut"),
-        F.array().cast("array<struct<line_no: int, num: string, block: int, rank: int>>").alias("out"),
+        F.array().cast("array<struct<num: string, block: int, rank: int>>").alias("out"),
     )
 
     def step(a, x):
@@ -217,16 +220,16 @@ def _list_fold(items: Column) -> Column:
         fits = lambda c: F.coalesce(F.startswith(c, deeper), F.lit(True))
         going = a["indent"].isNotNull() & ~a["cut"] & fits(a["lo"]) & fits(a["hi"])
         peer = (x["indent"] == a["indent"]) & (x["delim"] == a["delim"])
-        same = F.coalesce(going & peer, F.lit(False))
-        inner = F.coalesce(going & ~peer & F.startswith(x["line"], deeper), F.lit(False))
-        block = F.when(same | inner, a["block"]).otherwise(a["block"] + 1)
-        rank = F.when(inner, a["rank"]).when(same, a["rank"] + 1).otherwise(1)
-        mine = F.struct(x["line_no"].cast("int").alias("line_no"), x["num"].alias("num"), F.when(inner, 0).otherwise(block).alias("block"), rank.alias("rank"))
-        keep = same | inner
-        return F.struct(
-            F.when(keep, a["indent"]).otherwise(x["indent"]).alias("indent"), F.when(keep, a["delim"]).otherwise(x["delim"]).alias("delim"), block.alias("block"), rank.alias("rank"),
-            x["lo"].alias("lo"), x["hi"].alias("hi"), x["cut"].alias("cut"), F.array_append(a["out"], mine).alias("out"),
-        )
+        kind = F.when(~F.coalesce(going, F.lit(False)), 0).when(peer, 1).when(F.startswith(x["line"], deeper), 2).otherwise(0)
+
+        def after(k):  # 0 opens a block, 1 is the block's next item, 2 lies inside it
+            block = F.when(k == 0, a["block"] + 1).otherwise(a["block"])
+            rank = F.when(k == 0, 1).when(k == 1, a["rank"] + 1).otherwise(a["rank"])
+            mine = F.struct(x["num"].alias("num"), F.when(k == 2, 0).otherwise(block).alias("block"), rank.alias("rank"))
+            opened = lambda c: F.when(k == 0, x[c]).otherwise(a[c]).alias(c)
+            return F.struct(opened("indent"), opened("delim"), block.alias("block"), rank.alias("rank"), x["lo"].alias("lo"), x["hi"].alias("hi"), x["cut"].alias("cut"), F.array_append(a["out"], mine).alias("out"))
+
+        return bound(kind, after)
 
     return F.aggregate(items, start, step, lambda a: a["out"])
 
@@ -239,31 +242,38 @@ def _one_style(items: Column) -> Column:
     return F.coalesce(first["ones"], F.lit(False))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda's variable is not copied into its uses as a column's expression is."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ordered_list_prefix(lines: DataFrame) -> DataFrame:
     """R12 (S): renumber the items of blocks of two or more, 1 1 1 or 1 2 3 as the document's first list has it.
 
     A document's lines are gathered for the fold and spread again, where they are: the
-    windows before have brought them together.
+    windows before have brought them together. Each item meets its place by its ordinal.
     """
     p = L.ORDERED_ITEM
-    out = lines.withColumn("_item", ~F.col("skip") & T.has("line", p)).withColumn("_gap", F.sum(F.col("_item").cast("int")).over(L.upto()))
-    gap = Window.partitionBy(L.KEY, "_gap")
+    out = lines.withColumn("_item", ~F.col("skip") & T.has("line", p)).withColumn("_nth", F.sum(F.col("_item").cast("int")).over(L.upto()))
+    gap = Window.partitionBy(L.KEY, "_nth")
     text = F.when(~F.col("_item") & ~L.blank() & ~F.col("skip"), F.col("line"))
     parts = {"indent": T.group("line", p, 1), "num": T.group("line", p, 2), "delim": T.group("line", p, 3), "lo": F.min(text).over(gap), "hi": F.max(text).over(gap), "cut": F.max((F.col("skip") & ~F.col("_item")).cast("int")).over(gap) == 1}
-    out = out.select(L.KEY, "_item", *(c for c in lines.columns if c != L.KEY), F.when(F.col("_item"), F.struct(*(v.alias(k) for k, v in parts.items()))).alias("_parts"))
-    fields = ["line_no", *(c for c in out.columns if c not in (L.KEY, "line_no"))]
-    packed = out.groupBy(L.KEY).agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: a["line_no"] - b["line_no"]).alias("_rows"))
-    items = F.transform(F.filter("_rows", lambda r: r["_item"]), lambda r: F.struct(r["line_no"].alias("line_no"), r["line"].alias("line"), *(r["_parts"][k].alias(k) for k in parts)))
-    packed = packed.withColumn("_items", items).withColumns({"_fold": _list_fold(F.col("_items")), "_one": _one_style(F.col("_items"))})
-
-    def due(fold: Column) -> Column:
-        real = F.transform(F.filter(fold, lambda x: x["rank"] == 2), lambda x: x["block"])
-        want = lambda x: F.when(F.col("_one"), F.lit("1")).otherwise(x["rank"].cast("string"))
-        hit = lambda x: (x["block"] > 0) & F.array_contains(real, x["block"]) & (F.regexp_replace(x["num"], "^0+(?=.)", "") != want(x))
-        return F.map_from_entries(F.transform(F.filter(fold, hit), lambda x: F.struct(x["line_no"], want(x))))
-
-    spread = packed.select(L.KEY, due(F.col("_fold")).alias("_due"), F.explode("_rows").alias("_r")).select(L.KEY, "_due", "_r.*")
-    spread = spread.withColumn("_want", F.try_element_at("_due", F.col("line_no").cast("int"))).drop("_due", "_item", "_parts")
+    kept = [c for c in lines.columns if c not in (L.KEY, "line_no")]
+    out = out.select(L.KEY, "line_no", "_item", "_nth", *kept, F.when(F.col("_item"), F.struct(*(v.alias(k) for k, v in parts.items()))).alias("_parts"))
+    packed = out.groupBy(L.KEY).agg(F.sort_array(F.collect_list(F.struct(*(c for c in out.columns if c != L.KEY)))).alias("_rows"))
+
+    def placed(rows: Column) -> Column:
+        items = F.transform(F.filter(rows, lambda r: r["_item"]), lambda r: F.struct(r["line"].alias("line"), *(r["_parts"][k].alias(k) for k in parts)))
+        both = bound(items, lambda xs: F.struct(_list_fold(xs).alias("fold"), _one_style(xs).alias("one")))
+        fields = ["line_no", *kept]
+        return bound(both, lambda b: F.transform(rows, lambda r: F.struct(*(r[c].alias(c) for c in fields), F.when(r["_item"], F.get(b["fold"], r["_nth"] - 1)).alias("_place"), b["one"].alias("_one"))))
+
+    spread = packed.select(L.KEY, F.explode(bound(F.col("_rows"), placed)).alias("_r")).select(L.KEY, "_r.*")
+    rank, block = F.col("_place.rank"), F.col("_place.block")
+    longest = F.max(rank).over(Window.partitionBy(L.KEY, block))
+    want = F.when(F.col("_one"), F.lit("1")).otherwise(rank.cast("string"))
+    due = (block > 0) & (longest > 1) & (F.regexp_replace(F.col("_place.num"), "^0+(?=.)", "") != want)
+    spread = spread.withColumn("_want", F.when(due, want)).drop("_place", "_one")
     new = F.concat(T.group("line", p, 1), F.col("_want"), T.group("line", p, 3), T.group("line", p, 4), T.group("line", p, 5))
     return _counted(spread, "md029", F.col("_want").isNotNull(), new).drop("_want")
 

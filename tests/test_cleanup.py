@@ -43,6 +43,17 @@ def test_single_rules_against_folds(spark):
         assert not bad, bad[0]
 
 
+def test_very_long_lists_and_islands(spark):
+    """One document of thousands of items, and an item that thousands of lines continue: no more than linear in their number."""
+    items = "\n".join(f"{i % 7}. item {i}" + ("\n   more" if i % 5 == 0 else "\n" if i % 11 == 0 else "") for i in range(6000))
+    island = "- item\n" + "\n".join(f"line {i}" for i in range(6000)) + "\n\n" + "\n".join(f"prose {i}" for i in range(6000))
+    docs = [(1, items), (2, island)]
+    lines = L.to_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    for rule in ("md029", "rejoin"):
+        got = {r.doc_id: r.text for r in L.from_lines(C.one_rule(lines, rule)).collect()}
+        assert all(got[i] == "\n".join(dict(fold.RULES)[rule](t.split("\n"))[0]) for i, t in docs)
+
+
 def test_lint_is_one_shuffle_without_python(spark):
     docs = spark.createDataFrame(documents(3, 1), "doc_id long, text string")
     out = C.lint_lines(L.to_lines(docs))
