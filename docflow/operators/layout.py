@@ -3,7 +3,7 @@
 A page row has doc_id, page_index, width, height, char_sizes array<double>, text, n_images,
 text_lines array<struct<text, top, bottom, sizes array<double>>>,
 tables array<struct<x0, top, x1, bottom, rows array<array<string>>>> and
-images array<struct<xref, y, width, height>>. Finding them in a PDF (P4) is a parser's work.
+images array<struct<xref, y, width, height>>. sources/pdf.py finds them in a PDF (P4).
 """
 
 from __future__ import annotations
@@ -88,7 +88,8 @@ def page_markdown(page: DataFrame, markers: bool = False) -> DataFrame:
     """
     tables = F.filter(F.transform(F.coalesce("tables", F.array().cast("array<struct<x0: double, top: double, x1: double, bottom: double, rows: array<array<string>>>>")), lambda t: F.struct(t["top"].alias("top"), F.lit(0).alias("kind"), t["bottom"].alias("bottom"), clean_table(t["rows"]).alias("md"))), lambda o: o["md"].isNotNull())
     if markers:
-        images = F.transform(F.coalesce("images", F.array().cast("array<struct<xref: int, y: double, width: int, height: int>>")), lambda i: F.struct(i["y"].alias("top"), F.lit(1).alias("kind"), i["y"].alias("bottom"), marker(i["xref"], i["width"], i["height"]).alias("md")))
+        real = F.filter(F.coalesce("images", F.array().cast("array<struct<xref: int, y: double, width: int, height: int>>")), lambda i: real_image(i))
+        images = F.transform(real, lambda i: F.struct(i["y"].alias("top"), F.lit(1).alias("kind"), i["y"].alias("bottom"), marker(i["xref"], i["width"], i["height"]).alias("md")))
         tables = F.concat(tables, images)
     out = page.withColumn("_body", body_size("char_sizes")).withColumn("_obstacles", F.array_sort(tables, lambda a, b: F.when(a["top"] < b["top"], -1).when(a["top"] > b["top"], 1).otherwise(a["kind"] - b["kind"])))
     chunk = lambda at, md: F.struct(at.cast("double").alias("at"), md.alias("md"))
@@ -130,8 +131,12 @@ def unique_images(pages: DataFrame) -> DataFrame:
     return flat.withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
-def image_markers(pages: DataFrame, least: int = 4) -> DataFrame:
-    """SRC11, F10: every placement with a real xref, a place and both sides of `least` pixels or more."""
-    flat = pages.select("doc_id", "page_index", F.posexplode("images").alias("pos", "i")).select("doc_id", "page_index", "pos", "i.*")
-    ok = (F.col("xref") > 0) & F.col("y").isNotNull() & (F.col("width") >= least) & (F.col("height") >= least)
-    return flat.filter(ok).select("doc_id", "page_index", "y", marker(F.col("xref"), F.col("width"), F.col("height")).alias("placeholder"))
+def real_image(i: Column, least: int = 4) -> Column:
+    """a real xref, a place, and both sides of `least` pixels or more."""
+    return F.coalesce((i["xref"] > 0) & i["y"].isNotNull() & (i["width"] >= least) & (i["height"] >= least), F.lit(False))
+
+
+def image_markers(pages: DataFrame) -> DataFrame:
+    """SRC11: every placement of a real image."""
+    flat = pages.select("doc_id", "page_index", F.posexplode("images").alias("pos", "i")).filter(real_image(F.col("i"))).select("doc_id", "page_index", "pos", "i.*")
+    return flat.select("doc_id", "page_index", "y", marker(F.col("xref"), F.col("width"), F.col("height")).alias("placeholder"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ ZIP_DOCUMENTS = (*MEDIA_PREFIX, ".epub")
 MIME = {".jpg": "jpeg", ".tif": "tiff"}
 FILE_EXTENSION = {"jpeg": "jpg", "tiff": "tif", "svg+xml": "svg"}
 INLINE_IMAGE = r"data:image/([A-Za-z0-9.+-]+);base64(?:,([A-Za-z0-9+/=\s]+?)(?=[)\s\"'])|\.\.\.)"
-MARKER = r"<!--MDGUI_IMG:x(\d+):w(\d+):h(\d+)-->"
+MARKER = r"<!--image:x(\d+):w(\d+):h(\d+)-->"
 SUBFOLDER = "images"
 
 
@@ -57,23 +58,39 @@ def data_uri(content: Column | str, ext: Column | str) -> Column:
     return F.concat(F.lit("data:image/"), mime(ext), F.lit(";base64,"), T.base64_plain(content))
 
 
+def image_section(images: DataFrame, target: Column, *order: str) -> DataFrame:
+    """M3, M4 and the sections of SNK4, SNK5: doc_id, section of a document's images, linked to target.
+
+    Images with page_index are told by page, xref and size, and grouped by page; others by number.
+    """
+    paged = "page_index" in images.columns
+    w = Window.partitionBy("doc_id").orderBy(*order)
+    if paged:
+        alt = F.concat(F.lit("Page "), F.col("page_index") + 1, F.lit(" image "), F.col("xref"), F.lit(" ("), F.col("width"), F.lit("x"), F.col("height"), F.lit(")"))
+    else:
+        alt = F.concat(F.lit("image "), F.row_number().over(w))
+    link = F.concat(F.lit("!["), alt, F.lit("]("), target, F.lit(")"))
+    rows = images.withColumns({"_link": link, "_at": F.row_number().over(w)})
+    joined = lambda name, s: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(name, s))), lambda x: x[s]), "\n\n")
+    if paged:
+        pages = rows.groupBy("doc_id", "page_index").agg(joined("_at", "_link").alias("_md"))
+        rows = pages.select("doc_id", F.col("page_index").alias("_at"), F.concat(F.lit("### Page "), F.col("page_index") + 1, F.lit("\n\n"), "_md").alias("_link"))
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("## Embedded images\n\n"), joined("_at", "_link")).alias("section"))
+
+
 def pdf_image_section(images: DataFrame) -> DataFrame:
-    """M3: (doc_id, page_index, pos, content) to one section of base64 images by page."""
-    w = Window.partitionBy("doc_id").orderBy("page_index", "pos")
-    link = F.concat(F.lit("![image "), F.row_number().over(w), F.lit("]("), data_uri("content", F.lit(".png")), F.lit(")"))
-    rows = images.withColumn("link", link)
-    by_page = rows.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("pos", "link"))).alias("links"))
-    page = F.concat(F.lit("### Page "), F.col("page_index") + 1, F.lit("\n\n"), F.array_join(F.transform("links", lambda x: x["link"]), "\n\n"))
-    whole = by_page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", page.alias("md")))).alias("pages"))
-    return whole.select("doc_id", F.concat(F.lit("## Embedded images\n\n"), F.array_join(F.transform("pages", lambda x: x["md"]), "\n\n")).alias("section"))
+    """M3: (doc_id, page_index, pos, xref, width, height, content, ext) to one section of base64 images by page."""
+    return image_section(images, data_uri("content", "ext"), "page_index", "pos")
 
 
 def zip_image_section(media: DataFrame) -> DataFrame:
     """M4: (doc_id, ord, content, ext) to a section of base64 images."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    link = F.concat(F.lit("![image "), F.row_number().over(w), F.lit("]("), data_uri("content", "ext"), F.lit(")"))
-    out = media.withColumn("link", link).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "link"))).alias("links"))
-    return out.select("doc_id", F.concat(F.lit("## Embedded images\n\n"), F.array_join(F.transform("links", lambda x: x["link"]), "\n\n")).alias("section"))
+    return image_section(media, data_uri("content", "ext"), "ord")
+
+
+def pdf_file_names(images: DataFrame, prefix: str = "prefix") -> DataFrame:
+    """SNK4: adds name, {stem}_p{page}_{xref} with the picture's suffix."""
+    return images.withColumn("name", F.concat(safe_stem(prefix), F.lit("_p"), F.col("page_index") + 1, F.lit("_"), "xref", "ext"))
 
 
 def media_route(path: Column | str) -> Column:
@@ -172,7 +189,7 @@ def model_ids(body: Column | str) -> Column:
 
 def marker(xref: Column, width: Column, height: Column) -> Column:
     """M14."""
-    return F.concat(F.lit("<!--MDGUI_IMG:x"), xref.cast("string"), F.lit(":w"), width.cast("string"), F.lit(":h"), height.cast("string"), F.lit("-->"))
+    return F.concat(F.lit("<!--image:x"), xref.cast("string"), F.lit(":w"), width.cast("string"), F.lit(":h"), height.cast("string"), F.lit("-->"))
 
 
 def markers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,16 +206,17 @@ def substitute_markers(docs: DataFrame, rendered: DataFrame, key: str = "doc_id"
 
 
 def marker_files(contents: DataFrame, key: str = "doc_id", prefix: str = "prefix", folder: str = SUBFOLDER) -> DataFrame:
-    """Of (key, prefix, xref, content) one file per xref: key, xref, name, content, link."""
+    """Of (key, prefix, xref, content and, but for PNG, ext) one file per xref: key, xref, name, content, link."""
     once = contents.filter("content is not null").dropDuplicates([key, "xref"])
-    name = F.concat(safe_stem(prefix), F.lit("_x"), F.col("xref"), F.lit(".png"))
+    name = F.concat(safe_stem(prefix), F.lit("_x"), F.col("xref"), F.col("ext") if "ext" in contents.columns else F.lit(".png"))
     return once.select(key, "xref", name.alias("name"), "content", F.concat(F.lit("![image]("), F.lit(f"{folder}/"), name, F.lit(")")).alias("link"))
 
 
 def marker_uris(contents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Of (key, xref, content) one data URI per xref: key, xref, link."""
+    """Of (key, xref, content and, but for PNG, ext) one data URI per xref: key, xref, link."""
     once = contents.filter("content is not null").dropDuplicates([key, "xref"])
-    return once.select(key, "xref", F.concat(F.lit("![image]("), data_uri("content", F.lit(".png")), F.lit(")")).alias("link"))
+    ext = F.col("ext") if "ext" in contents.columns else F.lit(".png")
+    return once.select(key, "xref", F.concat(F.lit("![image]("), data_uri("content", ext), F.lit(")")).alias("link"))
 
 
 def image_cascade(text: Column, n_placed: Column, placed: Column, n_inline: Column, inline: Column, section: Column) -> Column:
@@ -208,17 +226,28 @@ def image_cascade(text: Column, n_placed: Column, placed: Column, n_inline: Colu
 
 
 def zip_file_names(media: DataFrame, key: str = "doc_id", prefix: str = "prefix") -> DataFrame:
-    """SNK5's names: {prefix}_{stem}{ext}, and _2, _3 ... where a document has used the name already.
+    """SNK5's names: {prefix}_{stem}{ext}, and _2, _3 ... where a document has used the name already: key, ord, name.
 
-    A generated name can meet a real one later, so names are a fold over a document's entries.
+    A generated name can meet a real one later, so names are a walk over a document's
+    entries; a set and the next number of each name keep it linear.
     """
     base = F.concat(safe_stem(prefix), F.lit("_"), safe_stem(stem("entry_name")))
-    rows = media.select(key, F.struct("ord", base.alias("base"), "ext").alias("x"))
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-
-    def step(used: Column, x: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.size(used) + 1), lambda i: F.concat(x["base"], F.when(i > 1, F.concat(F.lit("_"), i)).otherwise(""), x["ext"]))
-        return F.array_append(used, F.get(F.filter(tries, lambda t: ~F.array_contains(used, t)), F.lit(0)))
-
-    named = packed.withColumn("names", F.aggregate("xs", F.array().cast("array<string>"), step))
-    return named.select(key, F.explode(F.arrays_zip("xs", "names")).alias("z")).select(key, F.col("z.xs.ord").alias("ord"), F.col("z.names").alias("name"))
+    rows = media.select(F.col(key).alias("key"), "ord", base.alias("base"), "ext")
+
+    def walk(entries: pa.Table) -> pa.Table:
+        entries = entries.sort_by([("ord", "ascending")])
+        used: set[str] = set()
+        following: dict[tuple[str, str], int] = {}
+        names = []
+        for stem_of, ext in zip(entries.column("base").to_pylist(), entries.column("ext").to_pylist(), strict=True):
+            n = following.get((stem_of, ext), 1)
+            while (name := f"{stem_of}{f'_{n}' if n > 1 else ''}{ext}") in used:
+                n += 1
+            following[stem_of, ext] = n + 1
+            used.add(name)
+            names.append(name)
+        return pa.table([entries.column("key"), entries.column("ord"), pa.array(names, pa.string())], names=["key", "ord", "name"])
+
+    kinds = dict(rows.dtypes)
+    out = rows.groupBy("key").applyInArrow(walk, f"key {kinds['key']}, ord {kinds['ord']}, name string")
+    return out.withColumnRenamed("key", key)

@@ -13,17 +13,17 @@ from .media import stem, suffix
 
 # Fixed values.
 SUPPORTED = (
-    ".pdf .docx .doc .pptx .ppt .xlsx .xls .csv .tsv .html .htm .xml .json .txt .md .rtf .epub "
-    ".png .jpg .jpeg .bmp .tiff .gif .mp3 .wav .m4a .flac .zip"
-).split()
+    ".pdf", ".docx", ".doc", ".pptx", ".ppt", ".xlsx", ".xls", ".csv", ".tsv", ".html", ".htm", ".xml", ".json", ".txt", ".md", ".rtf", ".epub", ".png",
+    ".jpg", ".jpeg", ".bmp", ".tiff", ".gif", ".mp3", ".wav", ".m4a", ".flac", ".zip",
+)
 NEAR_EMPTY = 50
 VISION_PATTERNS = (
-    "gpt-4o gpt-4-vision gpt-4-turbo gpt-5 o1 o3 chatgpt-4o claude-3 claude-4 claude-opus claude-sonnet claude-haiku "
-    "gemini gemma-3 gemma3 llama-3.2-11b-vision llama-3.2-90b-vision llama3.2-vision llama-3.2-vision llama-4 "
-    "qwen-vl qwen2-vl qwen2.5-vl qwen3-vl qwen2.5-omni internvl internlm-xcomposer moondream "
-    "minicpm-v minicpm-llama3-v minicpm-o pixtral molmo phi-3-vision phi-3.5-vision phi-4-multimodal "
-    "llava bakllava obsidian cogvlm cogagent glm-4v yi-vl deepseek-vl reka- -vl- -vision -multimodal vlm"
-).split()
+    "gpt-4o", "gpt-4-vision", "gpt-4-turbo", "gpt-5", "o1", "o3", "chatgpt-4o", "claude-3", "claude-4", "claude-opus", "claude-sonnet", "claude-haiku",
+    "gemini", "gemma-3", "gemma3", "llama-3.2-11b-vision", "llama-3.2-90b-vision", "llama3.2-vision", "llama-3.2-vision", "llama-4", "qwen-vl",
+    "qwen2-vl", "qwen2.5-vl", "qwen3-vl", "qwen2.5-omni", "internvl", "internlm-xcomposer", "moondream", "minicpm-v", "minicpm-llama3-v", "minicpm-o",
+    "pixtral", "molmo", "phi-3-vision", "phi-3.5-vision", "phi-4-multimodal", "llava", "bakllava", "obsidian", "cogvlm", "cogagent", "glm-4v", "yi-vl",
+    "deepseek-vl", "reka-", "-vl-", "-vision", "-multimodal", "vlm",
+)
 PROVIDERS = (
     ("Custom", "", ""),
     ("OpenAI", "https://api.openai.com/v1", "gpt-4o"),
@@ -109,18 +109,20 @@ def strips_page_numbers(path: Column | str) -> Column:
 
 
 def near_empty(text: Column | str) -> Column:
-    """F4."""
-    return F.char_length(T.strip(text)) < NEAR_EMPTY
+    """fewer than NEAR_EMPTY characters, white space among them."""
+    return F.char_length(T.col(text)) < NEAR_EMPTY
 
 
-def image_mode(embed: bool, extract: bool) -> str:
+def image_mode(embed: Column | bool, extract: Column | bool) -> Column:
     """embedding wins over extraction."""
-    return "embed" if embed else "extract" if extract else "none"
+    flag = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.when(flag(embed), "embed").when(flag(extract), "extract").otherwise("none")
 
 
-def check_credentials(api_key: str, base_url: str) -> str | None:
-    """what is missing, or None: a key is needed unless an endpoint of one's own is given."""
-    return None if api_key.strip() or base_url.strip() else "an API key or an endpoint is needed"
+def check_credentials(api_key: Column | str, base_url: Column | str) -> Column:
+    """what is missing, or null: a key is needed unless an endpoint of one's own is given."""
+    given = (T.strip(F.coalesce(T.col(api_key), F.lit(""))) != "") | (T.strip(F.coalesce(T.col(base_url), F.lit(""))) != "")
+    return F.when(~given, "an API key or an endpoint is needed")
 
 
 def is_vision_model(model: Column | str, patterns: Sequence[str] = VISION_PATTERNS) -> Column:

@@ -1,7 +1,8 @@
-"""The batch conversion from files to Markdown with clean-up, index and result rows.
+"""The batch conversion from files to Markdown with images, clean-up, index and result rows.
 
-files (path, content and, if known, is_scanned) -> convert -> C1 -> C2 -> C3 -> lint -> one
-row per file. The plan is lazy: nothing is read before the rows are used or written.
+files (path, content and, if known, is_scanned) -> convert -> images -> C1 -> C2 -> C3 ->
+lint -> one row per file. Converting is dear, and a model's answers differ from call to call:
+what a file converts to is written to the shared folder once, and all else reads that.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from docflow.functions.shared import written
 from docflow.operators import cleanup as C
-from docflow.operators import index, media, queue
+from docflow.operators import index, layout, media, queue
 from docflow.operators import lines as L
 from docflow.sources import files as S
-from docflow.sources import sinks
+from docflow.sources import pdf, sinks
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,7 @@ class Options:
     strip_headers_footers: bool = True
     strip_page_numbers: bool = True
     lint: bool = True
+    images: str = "none"  # none, embed (as data URIs) or extract (to files); see queue.image_mode
     make_index: bool = True
     index_on: str = "raw"  # or final: line numbers of the text that is written
 
@@ -65,22 +68,113 @@ def clean(texts: DataFrame, options: Options) -> DataFrame:
     return out.join(first, "doc_id", "left").select("doc_id", "text", fixes.alias("fixes"))
 
 
-def convert_corpus(files: DataFrame, options: Options, registry: S.Registry | None = None, ocr: S.Convert | None = None, existing: DataFrame | None = None, observation: Observation | None = None) -> DataFrame:
-    """source, destination, status, error, route, text, index, n_chars, near_empty, fixes: a row per file.
+def detect_scanned(files: DataFrame) -> DataFrame:
+    """P8 on files: path, is_scanned of each PDF."""
+    pages = pdf.read_pages(files.filter(S.accepts_pdf("path"))).filter("page_index >= 0")
+    return layout.scanned(pages, "path").select("path", "is_scanned")
+
+
+def pdf_texts(pages: DataFrame, markers: bool) -> DataFrame:
+    """SRC6, SRC8: path, text, error, route of page rows. A page without layout has its plain text, and so has a
+    document whose layout is empty; a file that cannot be read has an error and no text."""
+    marked = layout.page_markdown(pages.filter("page_index >= 0").withColumnRenamed("path", "doc_id"), markers)
+    laid = layout.document_markdown(marked).withColumnRenamed("doc_id", "path")
+    plain = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_index", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n")
+    whole = pages.groupBy("path").agg(plain.alias("plain"), F.max(F.when(F.col("page_index") < 0, F.col("error"))).alias("error"))
+    out = whole.join(laid, "path", "left")
+    text = F.when(F.col("error").isNull(), S.with_fallback("markdown", "plain"))
+    return out.select("path", text.alias("text"), "error", F.lit("text").alias("route"))
+
+
+def convert_files(files: DataFrame, options: Options, registry: S.Registry | None = None, ocr: S.Convert | None = None) -> DataFrame:
+    """path, text, error, route of each file. Every file is read and converted once: the rows are a written table."""
+    registry = registry or S.Registry()
+    if ocr is not None and "is_scanned" not in files.columns:
+        files = files.join(written(detect_scanned(files), "scanned"), "path", "left")
+    own = registry.pick("x.pdf")
+    if own is not None and own.priority <= 0:  # U1: a registered converter goes before the page operators
+        return written(S.convert(files, registry, ocr), "converted")
+    scanned = F.coalesce(F.col("is_scanned"), F.lit(False)) if ocr is not None else F.lit(False)
+    laid_out = S.accepts_pdf("path") & ~scanned
+    pages = written(pdf.read_pages(files.filter(laid_out)), "pages")
+    texts = pdf_texts(pages, options.images != "none")
+    empty = pages.select("path").distinct()
+    without = files.filter(laid_out).select("path").join(empty, "path", "left_anti")  # PDFs without pages
+    texts = texts.unionByName(without.select("path", F.lit("").alias("text"), F.lit(None).cast("string").alias("error"), F.lit("text").alias("route")))
+    return written(texts.unionByName(S.convert(files.filter(~laid_out), registry, ocr)), "converted")
+
+
+def place_images(files: DataFrame, texts: DataFrame, options: Options) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text with its images in place; files to write: doc_id, name, content, None where none are).
+
+    texts has doc_id (the path), text and prefix (the start of file names). Images stand
+    where markers are; if none does, where the text has inline images; if it has none, in a
+    section at the end.
+    """
+    if options.images == "none":
+        return texts.select("doc_id", "text"), None
+    embed = options.images == "embed"
+    names = texts.select("doc_id", "prefix")
+    of_pdf = written(pdf.read_images(files.filter(S.accepts_pdf("path"))).withColumnRenamed("path", "doc_id"), "pdf_images").join(names, "doc_id")
+    least = of_pdf.filter("width >= 4 and height >= 4")
+    of_zip = written(S.media(files).withColumnRenamed("path", "doc_id"), "zip_media")
+    rendered = media.marker_uris(least) if embed else media.marker_files(least)
+    marked = written(media.substitute_markers(texts, rendered.select("doc_id", "xref", "link")), "marked")
+    bare = marked.filter("n_placed = 0").select("doc_id", "text").join(names, "doc_id")
+    if embed:
+        inline = media.truncated_to_base64(bare, of_zip).withColumn("n_inline", F.contains("text", F.lit("data:image/")).cast("int"))
+        pdf_part, zip_part = media.pdf_image_section(least), media.zip_image_section(of_zip)
+        made = None
+    else:
+        inline, inline_files = media.inline_to_files(bare, of_zip)
+        inline = inline.withColumnRenamed("n_images", "n_inline")
+        folder = F.lit(f"{media.SUBFOLDER}/")
+        named_pdf = media.pdf_file_names(least)
+        named_zip = of_zip.join(names, "doc_id")
+        named_zip = named_zip.join(media.zip_file_names(named_zip), ["doc_id", "ord"])
+        pdf_part = media.image_section(named_pdf, F.concat(folder, "name"), "page_index", "pos")
+        zip_part = media.image_section(named_zip.drop("page_index"), F.concat(folder, "name"), "ord")
+    inline = written(inline.select("doc_id", F.col("text").alias("inline"), "n_inline"), "inline")
+    section = pdf_part.unionByName(zip_part)
+    out = marked.join(inline, "doc_id", "left").join(section, "doc_id", "left")
+    text = media.image_cascade(F.col("text"), F.col("n_placed"), F.col("text"), F.col("n_inline"), F.col("inline"), F.col("section"))
+    if not embed:
+        placed = marked.filter("n_placed > 0").select("doc_id")
+        at_end = inline.filter("n_inline = 0").select("doc_id")
+        made = rendered.select("doc_id", "name", "content").join(placed, "doc_id", "left_semi")
+        made = made.unionByName(inline_files.select("doc_id", "name", "content"))
+        for named in (named_pdf, named_zip):
+            made = made.unionByName(named.select("doc_id", "name", "content").join(at_end, "doc_id", "left_semi"))
+    return out.select("doc_id", text.alias("text")), made
+
+
+@dataclass(frozen=True)
+class Converted:
+    """rows: source, destination, status, error, route, text, index, n_chars, near_empty, fixes, a row per file.
+    media: destination, content of the image files that the texts link to; None where there are none."""
+
+    rows: DataFrame
+    media: DataFrame | None
+
+
+def convert_all(files: DataFrame, options: Options, registry: S.Registry | None = None, ocr: S.Convert | None = None, existing: DataFrame | None = None, observation: Observation | None = None) -> Converted:
+    """Convert a queue of files.
 
     A file that fails, or whose destination exists, has a status that says so and no text.
     An observation, if given, counts succeeded and failed rows as the result is produced.
     """
     todo = plan_queue(files, options, existing)
     chosen = files.join(todo.filter("status = 'ok'").select(F.col("source").alias("path")), "path", "left_semi")
-    made = S.convert(chosen, registry, ocr)
+    made = convert_files(chosen, options, registry, ocr)
+    prefix = todo.select(F.col("source").alias("doc_id"), media.stem("destination").alias("prefix"), F.regexp_replace("destination", r"[^/]*\z", "").alias("folder"))
     raw = made.filter("text is not null").select(F.col("path").alias("doc_id"), "text")
-    final = clean(raw, options)
+    with_images, image_files = place_images(chosen, raw.join(prefix.drop("folder"), "doc_id"), options)
+    final = written(clean(with_images, options), "cleaned")
     out = todo.join(made.select(F.col("path").alias("source"), "error", "route", F.col("text").isNotNull().alias("_made")), "source", "left")
     out = out.join(final.select(F.col("doc_id").alias("source"), "text", "fixes"), "source", "left")
     if options.make_index:
         on = raw if options.index_on == "raw" else final.select("doc_id", "text")
-        pages = index.render_index(on.withColumn("_name", media.stem("doc_id")), "_name")
+        pages = index.render_index(on.withColumn("_name", F.element_at(F.split("doc_id", "/"), -1)), "_name")
         out = out.join(pages.withColumnRenamed("doc_id", "source"), "source", "left")
     else:
         out = out.withColumn("index", F.lit(None).cast("string"))
@@ -88,11 +182,21 @@ def convert_corpus(files: DataFrame, options: Options, registry: S.Registry | No
     out = out.select("source", "destination", status.alias("status"), "error", "route", "text", "index", F.char_length("text").alias("n_chars"), queue.near_empty("text").alias("near_empty"), "fixes")
     if observation is not None:
         out = out.observe(observation, F.count_if(F.col("status") == "ok").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"))
-    return out
+    if image_files is not None:
+        image_files = image_files.join(prefix, "doc_id").select(F.concat("folder", F.lit(f"{media.SUBFOLDER}/"), "name").alias("destination"), "content").dropDuplicates(["destination"])
+    return Converted(out, image_files)
 
 
-def write_corpus(results: DataFrame) -> DataFrame:
-    """Write texts and their sidecar indexes to their destinations: path, n_bytes, error."""
-    texts = results.filter("status = 'ok'").select("destination", "text")
-    pages = results.filter("status = 'ok' and index is not null").select(sinks.index_path("destination").alias("destination"), F.col("index").alias("text"))
-    return sinks.write_files(texts.unionByName(pages))
+def convert_corpus(files: DataFrame, options: Options, registry: S.Registry | None = None, ocr: S.Convert | None = None, existing: DataFrame | None = None, observation: Observation | None = None) -> DataFrame:
+    """The rows of convert_all."""
+    return convert_all(files, options, registry, ocr, existing, observation).rows
+
+
+def write_corpus(results: DataFrame, images: DataFrame | None = None, mounted: bool = False) -> DataFrame:
+    """Write texts, their sidecar indexes and images to their destinations: path, n_bytes, error."""
+    binary = lambda c: F.col(c).cast("binary").alias("content")
+    every = results.filter("status = 'ok'").select("destination", binary("text"))
+    every = every.unionByName(results.filter("status = 'ok' and index is not null").select(sinks.index_path("destination").alias("destination"), binary("index")))
+    if images is not None:
+        every = every.unionByName(images)
+    return sinks.write_files(every, "destination", "content", mounted)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import posixpath
+import struct
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -19,7 +21,7 @@ from docflow.functions import text as T
 from docflow.operators.media import IMAGE_EXTENSIONS, MEDIA_PREFIX, suffix
 from docflow.operators.queue import SUPPORTED
 
-BATCH = 64  # files in one batch that goes to Python
+from . import ole, pdf
 
 
 def scan_folder(spark: SparkSession, folder: str, extensions: Sequence[str] = SUPPORTED) -> DataFrame:
@@ -238,14 +240,18 @@ def _number(name: str) -> tuple[int, str]:
     return int(digits or 0), name
 
 
+#: What stands for an image whose bytes are not in the text; M8 finds them by ordinal.
+CUT_SHORT = "data:image/png;base64..."
+
+
 def _docx(raw: bytes) -> str:
+    local = lambda e: e.tag.rpartition("}")[2]
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         out = []
         for p in ElementTree.fromstring(z.read("word/document.xml")).iter():
-            if p.tag.rpartition("}")[2] != "p":
+            if local(p) != "p":
                 continue
-            local = lambda e: e.tag.rpartition("}")[2]
-            text = "".join(x.text or "" for x in p.iter() if local(x) == "t")
+            text = "".join((x.text or "") if local(x) == "t" else f"![]({CUT_SHORT})" if local(x) == "blip" else "" for x in p.iter())
             style = next((v for x in p.iter() if local(x) == "pStyle" for k, v in x.attrib.items() if k.endswith("val")), "")
             level = style.removeprefix("Heading")
             if text:
@@ -302,6 +308,86 @@ def _rtf(raw: bytes) -> str:
     return re.sub(r"\\[a-zA-Z]+-?\d* ?|[{}]", "", s).strip()
 
 
+def _xls(raw: bytes) -> str:
+    return "\n\n".join(f"## {name}\n\n{table_markdown(rows)}" for name, rows in ole.xls(raw))
+
+
+def image_size(raw: bytes) -> tuple[int, int] | None:
+    """Width and height of a PNG, GIF, BMP, TIFF or JPEG file, as its head tells them."""
+    if raw[:8] == b"\x89PNG\r\n\x1a\n":
+        return struct.unpack(">II", raw[16:24])
+    if raw[:4] == b"GIF8":
+        return struct.unpack("<HH", raw[6:10])
+    if raw[:2] == b"BM":
+        width, height = struct.unpack("<ii", raw[18:26])
+        return width, abs(height)
+    if raw[:4] in (b"II*\0", b"MM\0*"):
+        end = "<" if raw[:2] == b"II" else ">"
+        at = struct.unpack(end + "I", raw[4:8])[0]
+        found = {}
+        for i in range(struct.unpack_from(end + "H", raw, at)[0]):
+            tag, kind = struct.unpack_from(end + "HH", raw, at + 2 + 12 * i)
+            found[tag] = struct.unpack_from(end + ("H" if kind == 3 else "I"), raw, at + 10 + 12 * i)[0]
+        return (found[256], found[257]) if 256 in found and 257 in found else None
+    if raw[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 < len(raw) and raw[at] == 255:
+            if 0xC0 <= raw[at + 1] <= 0xCF and raw[at + 1] not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack(">HH", raw[at + 5 : at + 9])
+                return width, height
+            at += 2 + struct.unpack(">H", raw[at + 2 : at + 4])[0]
+    return None
+
+
+def _image(raw: bytes) -> str:
+    size = image_size(raw)
+    if size is None:
+        raise ValueError("not an image of a known kind")
+    return f"ImageSize: {size[0]}x{size[1]}"
+
+
+def _audio(raw: bytes) -> str:
+    """What the head of an audio file tells; words are a transcriber's work, which may be registered."""
+    import wave
+
+    if raw[:4] == b"RIFF":
+        with wave.open(io.BytesIO(raw)) as w:
+            return f"NumChannels: {w.getnchannels()}\nSampleRate: {w.getframerate()}\nDuration: {w.getnframes() / (w.getframerate() or 1):.2f} s"
+    if raw[:4] == b"fLaC":
+        packed = int.from_bytes(raw[18:26], "big")
+        rate, samples = packed >> 44, packed & (1 << 36) - 1
+        return f"NumChannels: {(packed >> 41 & 7) + 1}\nSampleRate: {rate}\nDuration: {samples / (rate or 1):.2f} s"
+    if raw[:3] == b"ID3" or raw[:2] in (b"\xff\xfb", b"\xff\xf3", b"\xff\xf2"):
+        return "Format: MPEG audio"
+    if raw[4:8] == b"ftyp":
+        return "Format: MPEG-4 audio"
+    raise ValueError("not an audio file of a known kind")
+
+
+ARCHIVE_DEPTH, ARCHIVE_BYTES = 3, 1 << 28
+
+
+def _archive(known: Registry, raw: bytes, depth: int = 0) -> str:
+    """The files of a ZIP archive that convert, each under a heading with its name; archives within, three deep."""
+    out, left = [], ARCHIVE_BYTES
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        for info in z.infolist():
+            left -= info.file_size
+            if left < 0:
+                raise ValueError("the archive unpacks to too many bytes")
+            chosen = known.pick(info.filename)
+            inner = info.filename.lower().endswith(".zip")
+            if info.is_dir() or (chosen is None and not info.filename.lower().endswith(".pdf")) or (inner and depth + 1 >= ARCHIVE_DEPTH):
+                continue
+            data = z.read(info)
+            try:
+                text = _archive(known, data, depth + 1) if inner else chosen.convert(data) if chosen else pdf.plain_text(data)
+            except Exception as e:
+                text = f"*[failed: {type(e).__name__}: {e}]*"
+            out.append(f"## File: {info.filename}\n\n{text}")
+    return "\n\n".join(out)
+
+
 Convert = Callable[[bytes], str]
 
 
@@ -317,7 +403,10 @@ class Converter:
 
 
 class Registry:
-    """Converters by priority. Built-ins stand at 0; what is registered goes before them by default."""
+    """Converters by priority. Built-ins stand at 0; what is registered goes before them by default.
+
+    PDF has none among them: the page operators lay it out (plans/convert.py), unless one is registered.
+    """
 
     def __init__(self):
         self.items: list[Converter] = []
@@ -333,6 +422,12 @@ class Registry:
             ((".pptx",), _pptx),
             ((".xlsx",), _xlsx),
             ((".epub",), _epub),
+            ((".doc",), ole.doc),
+            ((".xls",), _xls),
+            ((".ppt",), ole.ppt),
+            ((".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".gif"), _image),
+            ((".mp3", ".wav", ".m4a", ".flac"), _audio),
+            ((".zip",), functools.partial(_archive, self)),
         ):
             self.register(extensions, f, 0.0)
 
@@ -366,7 +461,9 @@ def convert(files: DataFrame, registry: Registry | None = None, ocr: Convert | N
                         rows.append((path, ocr(content), None, "OCR"))
                         continue
                     chosen = known.pick(path)
-                    if chosen is None:
+                    if chosen is None and path.lower().endswith(".pdf"):
+                        rows.append((path, pdf.plain_text(content), None, "text"))
+                    elif chosen is None:
                         rows.append((path, None, "no converter accepts this file", "text"))
                     else:
                         rows.append((path, chosen.convert(content), None, "text"))
@@ -423,7 +520,7 @@ def probe(endpoints: DataFrame, timeout: float = 1.5) -> DataFrame:
     return endpoints.select("name", "base_url").mapInPandas(run, "name string, base_url string, models array<string>, error string")
 
 
-#: Local model servers, in the order in which they are tried.
+#: Local model servers, in the order in which they are tried.
 LOCAL_SERVERS = (
     ("LM Studio", "http://localhost:1234/v1"),
     ("Ollama", "http://localhost:11434/v1"),

@@ -75,7 +75,7 @@ def test_pages(spark):
     ]
     df = spark.createDataFrame(rows, layout.PAGE_STRUCT)
     got = [r.markdown for r in layout.page_markdown(df, markers=True).orderBy("page_index").collect()]
-    assert got[0] == f"# Big\n\nplain\n\n{MD}\n\n<!--MDGUI_IMG:x7:w10:h20-->\n\nafter"
+    assert got[0] == f"# Big\n\nplain\n\n{MD}\n\n<!--image:x7:w10:h20-->\n\nafter"
     assert got[1] == "only plain text"
     assert got[2] == f"in\n\n{MD}\n\n{MD}\n\nlow"
     assert layout.document_markdown(layout.page_markdown(df)).first().markdown.count("\n\n" + MD) == 3
@@ -96,5 +96,5 @@ def test_scanned(spark):
 def test_images(spark):
     rows = [page(0, images=[(3, 1.0, 9, 9), (0, 1.0, 9, 9), (4, None, 9, 9), (5, 1.0, 3, 9)]), page(1, images=[(3, 2.0, 9, 9), (6, 2.0, 4, 4)])]
     df = spark.createDataFrame(rows, layout.PAGE_STRUCT)
-    assert sorted((r.page_index, r.placeholder) for r in layout.image_markers(df).collect()) == [(0, "<!--MDGUI_IMG:x3:w9:h9-->"), (1, "<!--MDGUI_IMG:x3:w9:h9-->"), (1, "<!--MDGUI_IMG:x6:w4:h4-->")]
+    assert sorted((r.page_index, r.placeholder) for r in layout.image_markers(df).collect()) == [(0, "<!--image:x3:w9:h9-->"), (1, "<!--image:x3:w9:h9-->"), (1, "<!--image:x6:w4:h4-->")]
     assert sorted((r.xref, r.page_index) for r in layout.unique_images(df).collect()) == [(0, 0), (3, 0), (4, 0), (5, 0), (6, 1)]

@@ -40,7 +40,7 @@ def test_inline_images(spark):
 
 
 def test_markers(spark):
-    text = "<!--MDGUI_IMG:x3:w9:h9--> and <!--MDGUI_IMG:x4:w1:h1--> and <!--MDGUI_IMG:x3:w9:h9-->"
+    text = "<!--image:x3:w9:h9--> and <!--image:x4:w1:h1--> and <!--image:x3:w9:h9-->"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     found = spark.createDataFrame([(1, 3, "doc", b"x")], "doc_id long, xref int, prefix string, content binary")
     out = M.substitute_markers(docs, M.marker_files(found)).first()
@@ -100,3 +100,34 @@ def test_vision(spark):
     df = spark.createDataFrame([("GPT-4o-mini",), ("",), (None,), ("mistral-7b",), ("Llama-3.2-Vision",)], "m string")
     assert [r[0] for r in df.select(Q.is_vision_model("m")).collect()] == [True, False, False, False, True]
     assert len(Q.VISION_PATTERNS) == 49 and Q.providers(spark).count() == 9
+
+
+def test_near_empty_counts_white_space(spark):
+    df = spark.createDataFrame([("x" * 49,), ("x" * 49 + "\n",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(Q.near_empty("t")).collect()] == [True, False, True, None]
+
+
+def test_image_modes_and_credentials(spark):
+    mode = lambda a, b: spark.range(1).select(Q.image_mode(a, b)).first()[0]
+    assert [mode(True, True), mode(True, False), mode(False, True), mode(False, False)] == ["embed", "embed", "extract", "none"]
+    missing = lambda a, b: spark.range(1).select(Q.check_credentials(F.lit(a), F.lit(b))).first()[0]
+    assert missing("k", None) is None and missing(" ", "http://h") is None and "API key" in missing(" ", "")
+
+
+def test_many_entries_of_one_name(spark):
+    rows = [(1, i, f"a{i}/x.png", ".png", "doc") for i in range(20000)] + [(2, 0, "x_2.png", ".png", "doc"), (2, 1, "a/x.png", ".png", "doc"), (2, 2, "b/x.png", ".png", "doc"), (2, 3, "c/x.png", ".jpg", "doc")]
+    named = M.zip_file_names(spark.createDataFrame(rows, "doc_id long, ord int, entry_name string, ext string, prefix string")).collect()
+    got = {(r.doc_id, r.ord): r.name for r in named}
+    assert got[1, 0] == "doc_x.png" and got[1, 1] == "doc_x_2.png" and got[1, 19999] == "doc_x_20000.png" and len(set(got.values())) >= 20000
+    assert [got[2, i] for i in range(4)] == ["doc_x_2.png", "doc_x.png", "doc_x_3.png", "doc_x.jpg"]
+
+
+def test_sinks_refuse_what_executors_do_not_share(tmp_path):
+    assert sinks.put(f"file:{tmp_path}/a/b.md", b"x") == 1 and (tmp_path / "a" / "b.md").read_bytes() == b"x"
+    for path, local in ((f"{tmp_path}/c.md", False), ("nosuch://host/c.md", True)):
+        try:
+            sinks.put(path, b"x", local)
+        except (ValueError, OSError, ImportError):
+            continue
+        raise AssertionError(path)
+    assert not (tmp_path / "c.md").exists()
