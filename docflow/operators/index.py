@@ -41,7 +41,9 @@ def real_heading_text(c: Column | str) -> Column:
 
 
 def boilerplate(lines: DataFrame, min_repeats: int = 4) -> DataFrame:
-    """Adds bare (the stripped line) and boiler, on lines of 3 to 120 characters that stand min_repeats times."""
+    """Adds bare (the stripped line) and boiler, on lines of 3 to 120 characters that stand min_repeats times. Lines that have them stay as they are."""
+    if "boiler" in lines.columns:
+        return lines
     fit = F.char_length("bare").between(3, 120)
     out = lines.withColumn("bare", T.strip("line"))
     n = F.count("*").over(Window.partitionBy(L.KEY, "bare"))
@@ -62,10 +64,16 @@ def _title_case(s: Column) -> Column:
 
 def headings(lines: DataFrame) -> DataFrame:
     """(doc_id, level, title, line_no from 1, kind): of each line the first kind of heading that it is."""
+    out = _marked(lines).filter("h is not null")
+    return out.select(L.KEY, "h.level", "h.title", (F.col("line_no") + 1).alias("line_no"), "h.kind")
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """Lines with h, the heading that a line is, or null."""
     blank = lambda c: F.coalesce(T.is_blank(c), F.lit(True))
     nxt = F.coalesce(L.after("line"), F.lit(""))
     seen = boilerplate(lines).withColumns({"prev_blank": blank(L.before("line")), "next_blank": T.is_blank(nxt), "next_prose": F.char_length(T.strip(nxt)) > 60})
-    seen = seen.filter((F.col("bare") != "") & ~F.col("boiler") & ~F.startswith("bare", F.lit("|")))
+    open_ = (F.col("bare") != "") & ~F.col("boiler") & ~F.startswith("bare", F.lit("|"))
     hit = lambda ok, level, title, kind: F.when(ok, F.struct(level.cast("int").alias("level"), title.alias("title"), F.lit(kind).alias("kind")))
     line, s = F.col("line"), F.col("bare")
     num, rest = T.group(line, NUMBERED, 1), F.rtrim(T.strip(T.group(line, NUMBERED, 2)), F.lit("."))
@@ -80,8 +88,7 @@ def headings(lines: DataFrame) -> DataFrame:
         hit(_all_caps(s) & (F.col("prev_blank") | F.col("next_blank") | F.col("next_prose")), F.lit(2), T.title_case(s), "caps"),
         hit(F.col("prev_blank") & F.col("next_prose") & _title_case(s), F.lit(3), s, "title"),
     )
-    out = seen.withColumn("h", found).filter("h is not null")
-    return out.select(L.KEY, "h.level", "h.title", (F.col("line_no") + 1).alias("line_no"), "h.kind")
+    return seen.withColumn("h", F.when(open_, found))
 
 
 def dedupe_headings(found: DataFrame, busy: int = 10) -> DataFrame:
@@ -101,8 +108,16 @@ def group_key(path: Column | str) -> Column:
 
 def endpoints(lines: DataFrame) -> DataFrame:
     """(doc_id, method, path, line_no from 1, grp)."""
+    out = boilerplate(lines).withColumn("e", _endpoint()).filter("e is not null")
+    return _endpoint_rows(out)
+
+
+def _endpoint() -> Column:
     hit = lambda p: F.when(T.has("line", p), F.struct(F.upper(T.group("line", p, 1)).alias("method"), F.rtrim(T.group("line", p, 2), F.lit(".")).alias("path")))
-    out = boilerplate(lines).filter(~F.col("boiler")).withColumn("e", F.coalesce(hit(METHOD), hit(INLINE))).filter("e is not null")
+    return F.when(~F.col("boiler"), F.coalesce(hit(METHOD), hit(INLINE)))
+
+
+def _endpoint_rows(out: DataFrame) -> DataFrame:
     return out.select(L.KEY, "e.method", "e.path", (F.col("line_no") + 1).alias("line_no"), group_key("e.path").alias("grp"))
 
 
@@ -117,19 +132,21 @@ def endpoint_groups(found: DataFrame) -> DataFrame:
 def render_index(docs: DataFrame, name: Column | str = "source", text: str = "text") -> DataFrame:
     """(doc_id, index) for documents long enough to have one."""
     long = docs.filter(should_index(text)).select(L.KEY, F.col(text).alias("text"), T.col(name).alias("_name"))
-    lines = L.to_lines(long)
-    heads = dedupe_headings(headings(lines))
+    # The lines that the index names, found in one pass: both branches read this one exchange.
+    named = _marked(L.to_lines(long)).withColumn("e", _endpoint()).filter("h is not null or e is not null").select(L.KEY, "line_no", "h", "e").repartition(L.KEY)
+    heads = dedupe_headings(named.filter("h is not null").select(L.KEY, "h.level", "h.title", (F.col("line_no") + 1).alias("line_no"), "h.kind"))
     entry = F.concat(F.repeat(F.lit("  "), F.greatest(F.col("level") - 1, F.lit(0))), F.lit("- "), F.col("title"), F.lit(" (line "), F.col("line_no"), F.lit(")"))
     heads = heads.groupBy(L.KEY).agg(F.array_sort(F.collect_list(F.struct("line_no", entry.alias("s")))).alias("_heads"))
     member = lambda m: F.concat(F.lit("- `"), m["method"], F.lit(" "), m["path"], F.lit("` (line "), m["line_no"], F.lit(")"))
     section = F.concat(F.lit("### "), F.col("grp"), F.lit("\n\n"), F.array_join(F.transform("members", member), "\n"))
-    ends = endpoint_groups(endpoints(lines))
+    ends = endpoint_groups(_endpoint_rows(named.filter("e is not null")))
     ends = ends.groupBy(L.KEY).agg(F.array_sort(F.collect_list(F.struct("place", section.alias("s")))).alias("_ends"), F.sum(F.size("members")).alias("_n_ends"))
     out = long.join(heads, L.KEY, "left").join(ends, L.KEY, "left")
     n_heads, n_ends = F.coalesce(F.size("_heads"), F.lit(0)), F.coalesce("_n_ends", F.lit(0))
     parts = F.concat_ws(", ", F.when(n_heads > 0, F.concat(n_heads.cast("string"), F.lit(" sections"))), F.when(n_ends > 0, F.concat(n_ends.cast("string"), F.lit(" endpoints"))))
     summary = F.when(parts == "", "no structured sections detected").otherwise(parts)
     title = F.when(F.coalesce(F.col("_name"), F.lit("")) == "", "# Index").otherwise(F.concat(F.lit("# Index of "), F.col("_name")))
+    # The texts of the index.
     body = F.concat_ws(
         "\n\n",
         title,

@@ -1,24 +1,30 @@
 """The queries that __spark_entry__ registers: every operator over whole tables.
 
 D queries read documents as they are; X queries read the decorated view (fixtures.py), where
-every Markdown construct occurs; index queries read one long document per source.
+every Markdown construct occurs; index queries read long documents made of a source's
+documents (volumes). File queries make files of the documents and read those.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.functions import text as T
+from docflow.functions.shared import shared_dir, written
 from docflow.operators import cleanup as C
 from docflow.operators import grid, index, layout, media, queue
 from docflow.operators import lines as L
-from docflow.sources import files
+from docflow.sources import files, pdf, sinks
 
-from . import oracle
-from .fixtures import by_source, documents, md_docs
+from . import convert, oracle, samples
+from .fixtures import documents, md_docs, volume, volumes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +43,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_render(spark, d):
-    return index.render_index(by_source(spark, d))
+    return index.render_index(volumes(spark, d))
 
 
 # --- lines ----------------------------------------------------------------------------
@@ -127,7 +133,7 @@ def boilerplate_lines(spark, d):
 
 
 def headings(spark, d):
-    return index.headings(L.to_lines(by_source(spark, d)))
+    return index.headings(L.to_lines(volumes(spark, d)))
 
 
 def headings_dedup(spark, d):
@@ -135,7 +141,7 @@ def headings_dedup(spark, d):
 
 
 def endpoints(spark, d):
-    return index.endpoints(L.to_lines(by_source(spark, d)))
+    return index.endpoints(L.to_lines(volumes(spark, d)))
 
 
 def endpoint_groups(spark, d):
@@ -144,7 +150,7 @@ def endpoint_groups(spark, d):
 
 
 def index_gate(spark, d):
-    return by_source(spark, d).select("doc_id", index.should_index("text").alias("should_index"))
+    return volumes(spark, d).select("doc_id", index.should_index("text").alias("should_index"))
 
 
 def line_predicates(spark, d):
@@ -163,14 +169,43 @@ def table_markdown(spark, d):
     return packed.select("region", grid._let(grid.drop_empty_columns(grid.drop_empty_rows(grid.normalise(cells))), lambda g: F.when(grid.looks_like_table(g), grid.to_markdown(g))).alias("markdown"))
 
 
+def _grid(width: int):
+    """All words of a text, `width` to a row; the last row may be short."""
+    words = T.words("text")
+    return lambda f: grid._let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / width).cast("int") - 1, F.lit(0))), lambda r: f(F.slice(w, r * width + 1, width), r)))
+
+
 def table_clean(spark, d):
-    """T8 on grids with empty cells, pipes and long cells made of documents' words."""
-    words = F.slice(F.split("text", " "), 1, 24)
-    cell = lambda i: F.when((F.col("doc_id") + i) % 3 == 0, F.lit("")).when((F.col("doc_id") + i) % 11 == 0, F.concat(F.get(words, i), F.lit("|x"))).otherwise(F.get(words, i))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: cell(r * 4 + c)))
+    """All words of a text in rows of four, made untidy: pipes, line breaks and nulls, an empty column, empty rows, short rows."""
+    none = F.lit(None).cast("string")
+    untidy = lambda c: F.concat(F.lit(" "), c, F.lit("\n|\r"))
+    row = lambda ws, r: F.concat(F.array(untidy(F.get(ws, F.lit(0))), none), F.transform(F.slice(ws, F.lit(2), F.lit(3)), untidy))
+    rows = _grid(4)(row)
+    rows = F.flatten(F.transform(rows, lambda r, i: F.when(i % 3 == 0, F.array(r, F.array(none, F.lit(" \n")))).otherwise(F.array(r))))
     return documents(spark, d).select("doc_id", grid.clean_table(rows).alias("markdown"))
 
 
+def table_zebra(spark, d):
+    """T5: rows of four words told over two lines each, the second and fourth below, become whole again."""
+    none = F.lit(None).cast("string")
+    cell = lambda ws, i: F.get(ws, F.lit(i))
+    two = lambda ws, r: F.array(F.array(cell(ws, 0), none, cell(ws, 2), none), F.array(none, F.coalesce(cell(ws, 1), F.lit("-")), none, F.coalesce(cell(ws, 3), F.lit("-"))))
+    return documents(spark, d).select("doc_id", F.when(F.size(T.words("text")) > 4, grid.clean_table(F.flatten(_grid(4)(two)))).alias("markdown"))
+
+
+def table_exclusive(spark, d):
+    """A second column whose cells stand now in one, now in the next of two columns becomes one."""
+    none = F.lit(None).cast("string")
+    row = lambda ws, r: F.when(r % 2 == 0, F.array(F.get(ws, F.lit(0)), F.get(ws, F.lit(1)), none)).otherwise(F.array(F.get(ws, F.lit(0)), none, F.get(ws, F.lit(1))))
+    return documents(spark, d).select("doc_id", grid.clean_table(_grid(2)(row)).alias("markdown"))
+
+
+def table_gate(spark, d):
+    """A grid of a text's lines, by number, is a table unless more than 30 % of its cells are long."""
+    rows = F.transform(F.split("text", "\n", -1), lambda x, i: F.array((i + 1).cast("string"), x))
+    return documents(spark, d).select("doc_id", grid.looks_like_table(grid.normalise(rows)).alias("is_table"))
+
+
 def body_font_size(spark, d):
     """P1 with quantities in the part of font sizes."""
     rows = _table(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
@@ -219,7 +254,8 @@ def page_unique_images(spark, d):
 
 
 def scanned_ratio(spark, d):
-    rows = documents(spark, d).select("source", F.left("text", (F.col("doc_id") % 60).cast("int")).alias("text"), (F.col("doc_id") % 7).alias("n_images"))
+    """Documents as the pages of a source, six of seven with images; those of fewer than 50 characters count."""
+    rows = documents(spark, d).select("source", "text", (F.col("doc_id") % 7).alias("n_images"))
     return layout.scanned(rows, "source")
 
 
@@ -227,25 +263,22 @@ def scanned_ratio(spark, d):
 
 
 def media_dedupe(spark, d):
-    rows = documents(spark, d).select("source", "doc_id", F.encode("text", "utf-8").alias("content"))
-    return media.number_contents(rows, "content", "doc_id", "source").select("source", "doc_id", "digest", "image_no")
+    rows = documents(spark, d).select(volume().alias("volume"), "doc_id", F.encode("text", "utf-8").alias("content"))
+    return media.number_contents(rows, "content", "doc_id", "volume").select("volume", "doc_id", "digest", "image_no")
 
 
 def media_order(spark, d):
     name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("logo"), F.col("doc_id") % 11)).otherwise(F.concat(F.lit("image"), F.col("doc_id") % 30))
-    rows = documents(spark, d).select("source", "doc_id", F.col("doc_id").alias("ord"), F.concat(F.lit("word/media/"), name, F.lit(".png")).alias("entry_name"))
-    return media.ordinal_media(rows, "source").select("source", "doc_id", "entry_name", "nth")
+    rows = documents(spark, d).select(volume().alias("volume"), "doc_id", F.col("doc_id").alias("ord"), F.concat(F.lit("word/media/"), name, F.lit(".png")).alias("entry_name"))
+    return media.ordinal_media(rows, "volume").select("volume", "doc_id", "entry_name", "nth")
 
 
 def placeholder_media(spark, d):
-    """M7, M8: a document's truncated images meet its source's media by ordinal."""
-    cut = media.inline_images(md_docs(spark, d)).filter("nth is not null")
-    sources = documents(spark, d).select("doc_id", "source")
-    kept = documents(spark, d).filter("doc_id % 50 = 0").select("source", F.col("doc_id").alias("media"))
-    ranked = kept.withColumn("m", F.row_number().over(Window.partitionBy("source").orderBy("media")))
-    n = ranked.groupBy("source").agg(F.max("m").alias("n_media"))
-    out = cut.join(sources, "doc_id").join(n, "source", "left").withColumn("m", F.least("nth", "n_media")).join(ranked, ["source", "m"], "left")
-    return out.select("doc_id", F.col("nth").cast("int").alias("nth"), "media")
+    """M7, M8: a document's truncated images meet its volume's media, all documents of it, by ordinal."""
+    of = documents(spark, d).select("doc_id", volume().alias("volume"))
+    cut = media.inline_images(md_docs(spark, d)).filter("nth is not null").select("doc_id", "place", "nth").join(of, "doc_id")
+    every = of.select("volume", F.col("doc_id").alias("ord"), F.lit("word/media/x.png").alias("entry_name"), F.col("doc_id").alias("media"))
+    return media.place_media(cut.withColumn("asked", F.col("nth").cast("int")), every, "volume").select("doc_id", F.col("asked").alias("nth"), "media")
 
 
 def substitute_markers(spark, d):
@@ -265,7 +298,7 @@ def marker_uris(spark, d):
 def _media_rows(spark, d) -> DataFrame:
     name = F.concat(F.lit("word/media/image"), F.col("doc_id") % 4 + 1, F.lit(".png"))
     content = F.encode(F.concat(F.col("source"), (F.col("doc_id") % 2).cast("string")), "utf-8")
-    return documents(spark, d).filter("doc_id % 3 > 0").select("doc_id", F.lit(0).alias("ord"), name.alias("entry_name"), content.alias("content"), F.lit(".png").alias("ext"))
+    return documents(spark, d).select("doc_id", F.lit(0).alias("ord"), name.alias("entry_name"), content.alias("content"), F.lit(".png").alias("ext"))
 
 
 def inline_to_files(spark, d):
@@ -274,19 +307,56 @@ def inline_to_files(spark, d):
     return media.inline_to_files(docs, _media_rows(spark, d))[0].select("doc_id", "text", "n_images")
 
 
+def inline_whole(spark, d):
+    """Whole images in a text, each twice, and one that does not decode: links, and the files to write."""
+    code = T.base64_plain(F.encode("text", "utf-8"))
+    uri = lambda kind, c: F.concat(F.lit(f"![i](data:image/{kind};base64,"), c, F.lit(")"))
+    text = F.concat(uri("JPEG", code), F.lit(" a "), uri("png", F.lit("aW1n")), F.lit(" b "), uri("gif", code), F.lit(" c "), uri("png", F.lit("aW1")))
+    docs = documents(spark, d).filter(F.col("text") != "").select("doc_id", text.alias("text"), F.lit("d").alias("prefix"))
+    texts, files_ = media.inline_to_files(docs, _media_rows(spark, d).limit(0))
+    names = files_.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat("name", F.lit(" "), F.sha2("content", 256)))), ";").alias("files"))
+    return texts.join(names, "doc_id", "left").select("doc_id", "text", "n_images", "files")
+
+
+def base64_strict(spark, d):
+    """base64 of whole texts, some with a character lost, another alphabet or white space in it."""
+    code, k = T.base64_plain(F.encode("text", "utf-8")), F.col("doc_id") % 4
+    given = F.when(k == 0, code).when(k == 1, F.concat(F.lit("A"), code)).when(k == 2, F.concat(code, F.lit("\n "))).otherwise(F.concat(code, F.lit("-_-_")))
+    return documents(spark, d).select("doc_id", F.decode(T.base64_strict(given), "utf-8").alias("decoded"))
+
+
 def truncated_to_base64(spark, d):
     return media.truncated_to_base64(md_docs(spark, d), _media_rows(spark, d)).select("doc_id", "text")
 
 
 def media_sections(spark, d):
     """M3-M5: sections of base64 images, by page for PDF, in order for ZIP documents."""
-    pdf = _media_rows(spark, d).select("doc_id", (F.col("doc_id") % 2).cast("int").alias("page_index"), F.col("ord").alias("pos"), "content")
-    both = media.pdf_image_section(pdf).withColumn("kind", F.lit("pdf"))
+    size = (F.col("doc_id") % 9).cast("int")
+    pdf_images = _media_rows(spark, d).select("doc_id", (F.col("doc_id") % 2).cast("int").alias("page_index"), F.col("ord").alias("pos"), F.lit(7).alias("xref"), size.alias("width"), size.alias("height"), "content", "ext")
+    both = media.pdf_image_section(pdf_images).withColumn("kind", F.lit("pdf"))
     return both.unionByName(media.zip_image_section(_media_rows(spark, d)).withColumn("kind", F.lit("zip")))
 
 
+def media_routes(spark, d):
+    """M5, F3, SRC7 by the suffix of a name."""
+    k = F.col("doc_id") % 6
+    name = F.concat(F.lit("/in/d."), F.when(k == 0, "PDF").when(k == 1, "docx").when(k == 2, "Epub").when(k == 3, "xlsx").when(k == 4, "md").otherwise("pdf.txt"))
+    mime = F.when(F.col("doc_id") % 4 == 0, "application/x-PDF; v=1").when(F.col("doc_id") % 4 == 1, "text/plain")
+    rows = documents(spark, d).select("doc_id", name.alias("name"), mime.alias("mime"))
+    return rows.select("doc_id", media.media_route("name").alias("route"), queue.strips_running_lines("name").alias("running"), queue.strips_page_numbers("name").alias("numbers"), files.accepts_pdf("name", "mime").alias("is_pdf"))
+
+
+def image_cascade(spark, d):
+    """M18, SRC8, F5, F6: which of the branches gives the text."""
+    i = F.col("doc_id")
+    out = media.image_cascade(F.concat("text", F.lit(" \n")), i % 3 - 1, F.lit("placed"), (i % 2).cast("int"), F.lit("inline"), F.when(i % 5 > 0, F.concat(F.lit("s"), i.cast("string"))))
+    fallback = files.with_fallback(F.when(i % 3 == 0, "").when(i % 3 == 1, F.col("text")), "source")
+    missing = queue.check_credentials(F.when(i % 2 == 0, " ").otherwise("k"), F.when(i % 3 == 0, "http://h"))
+    return documents(spark, d).select("doc_id", out.alias("text"), fallback.alias("fallback"), queue.image_mode(i % 2 == 0, i % 3 == 0).alias("mode"), missing.alias("missing"))
+
+
 def zip_file_names(spark, d):
-    """SNK5's names with collisions, one set per source."""
+    """SNK5's names with collisions, one set per source and 400 ids."""
     name = F.concat(F.when(F.col("doc_id") % 2 == 0, "a/").otherwise("b/"), F.lit("x"), F.when(F.col("doc_id") % 5 == 0, "_2").otherwise(""), F.lit(".png"))
     few = documents(spark, d).withColumn("key", F.concat_ws("-", "source", (F.col("doc_id") / 400).cast("long").cast("string")))
     rows = few.select("key", F.col("doc_id").alias("ord"), name.alias("entry_name"), F.lit(".png").alias("ext"), F.lit("doc").alias("prefix"))
@@ -323,7 +393,9 @@ def enqueue(spark, d):
 
 
 def route(spark, d):
-    return documents(spark, d).select("doc_id", queue.route(F.lit(True), F.col("doc_id") % 3 == 0).alias("route"), queue.near_empty("text").alias("near_empty"))
+    """whole texts and, of every other document, one of 49 characters and a newline, which is not near-empty."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.left("text", F.lit(49)), F.lit("\n"))).otherwise(F.col("text"))
+    return documents(spark, d).select("doc_id", queue.route(F.lit(True), F.col("doc_id") % 3 == 0).alias("route"), queue.near_empty(text).alias("near_empty"))
 
 
 def vision_models(spark, d):
@@ -352,6 +424,151 @@ def settings(spark, d):
     return _table(spark, d, "events").select("event_id", parsed["k"].alias("k"))
 
 
+# --- files ----------------------------------------------------------------------------
+
+
+def files_scanned(spark, d):
+    """SRC1, SRC2: the tables' own files, found by a scan of their folder; two of them by a list."""
+    name = F.element_at(F.split("path", "/"), -1)
+    found = files.scan_folder(spark, d, (".parquet",)).filter(~F.contains(F.substring_index("path", "/", -2), F.lit(".parquet/")))
+    listed = files.read_files(spark, [f"{d}/{n}.parquet" for n in ("region", "nation")])
+    return found.select(name.alias("name"), F.lit("scan").alias("how")).unionByName(listed.select(name.alias("name"), F.lit("list").alias("how")))
+
+
+def queue_edited(spark, d):
+    """SRC3, SRC4: a queue of paths, each once at its first place, and some removed."""
+    paths = documents(spark, d).select(F.concat(F.lit("/in/"), "source", F.lit("/"), (F.col("doc_id") % 50).cast("string"), F.lit(".txt")).alias("path"), F.col("doc_id").alias("pos"))
+    full = queue.enqueue(paths)
+    return queue.remove(full, full.filter(F.endswith("source", F.lit("7.txt"))))
+
+
+def totals(spark, d):
+    """U4's totals of a run."""
+    status = F.when(F.col("doc_id") % 7 == 0, "failed").when(F.col("doc_id") % 11 == 0, "exists").otherwise("ok")
+    return queue.totals(documents(spark, d).select(status.alias("status")))
+
+
+def _files_of(spark, d, suffix, make) -> DataFrame:
+    """path, content: a file made of each document."""
+
+    def run(batches):
+        for batch in batches:
+            made = [make(i, t or "") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(made, pa.binary())], names=["path", "content"])
+
+    rows = documents(spark, d).select("doc_id", "text", F.concat(F.col("doc_id").cast("string"), suffix).alias("path"))
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+#: Suffixes that documents take in turn, and what makes a file of that kind.
+FORMATS = {
+    ".txt": lambda t: t.encode(),
+    ".csv": lambda t: "".join(f'{i},"{x.replace(chr(34), chr(34) * 2)}"\n' for i, x in enumerate(t.split("\n"))).encode(),
+    ".tsv": lambda t: "".join(f"{i}\t{x}\n" for i, x in enumerate(t.replace('"', "").split("\n"))).encode(),
+    ".json": lambda t: json.dumps({"text": t}).encode(),
+    ".xml": lambda t: f"<d>{escape(t)}</d>".encode(),
+    ".docx": lambda t: samples.docx(t.split("\n")),
+    ".pptx": lambda t: samples.pptx([t.split("\n")]),
+    ".xlsx": lambda t: samples.xlsx([[str(i), x] for i, x in enumerate(t.split("\n"))]),
+    ".epub": lambda t: samples.epub(t.split("\n")),
+    ".html": lambda t: "".join(f"<p>{escape(x)}</p>" for x in t.split("\n")).encode(),
+    ".doc": samples.doc,
+    ".xls": lambda t: samples.xls([[float(i), x] for i, x in enumerate(t.split("\n"))]),
+    ".ppt": lambda t: samples.ppt([t]),
+    ".zip": lambda t: samples.archive_of({"a.txt": t.encode(), "b.bin": b""}),
+}
+
+
+def convert_formats(spark, d):
+    """SRC5: each document as a file of one of 14 kinds, read back as Markdown."""
+    kinds = list(FORMATS)
+    suffix = F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % len(kinds) + 1).cast("int"))
+    made = _files_of(spark, d, suffix, lambda i, t: FORMATS[kinds[i % len(kinds)]](t))
+    return files.convert(made).select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), "text", "error")
+
+
+def convert_routes(spark, d):
+    """A registered converter goes before the built-in one, one that fails leaves its error, scanned files go to OCR, whose failures are marked."""
+
+    def loud(raw: bytes) -> str:
+        if len(raw) > 3000:
+            raise ValueError("too long")
+        return "own: " + raw.decode()
+
+    def ocr(raw: bytes) -> str:
+        if len(raw) % 2:
+            raise RuntimeError("no model")
+        return f"{len(raw)} bytes read"
+
+    known = files.Registry()
+    known.register((".md",), loud)
+    known.register((".md",), lambda raw: "never", priority=1.0)
+    known.register((".csv",), lambda raw: "never", priority=0.5)
+    suffix = F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".unknown")
+    rows = documents(spark, d).select(F.concat(F.col("doc_id").cast("string"), suffix).alias("path"), F.encode("text", "utf-8").alias("content"), (F.col("doc_id") % 5 == 0).alias("is_scanned"))
+    return files.convert(rows, known, ocr).select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), "text", "error", "route")
+
+
+def pdf_text(spark, d):
+    """SRC6, SRC8, P1-P7: each document as a PDF of 40 lines a page, read back as Markdown."""
+    pages = pdf.read_pages(_files_of(spark, d, F.lit(".pdf"), lambda i, t: samples.text_pdf(t)))
+    return convert.pdf_texts(pages, False).select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), "text", "error")
+
+
+def _ruled(i: int, text: str) -> bytes:
+    words = text.split()
+    pages = []
+    for at in range(0, len(words), 90):
+        rows = [words[k : k + 3] for k in range(at, min(at + 90, len(words)), 3)]
+        bottom = 30 + 20 * len(rows)
+        rules = [(20, y, 740, y) for y in range(30, bottom + 1, 20)] + [(x, 30, x, bottom) for x in (20, 260, 500, 740)]
+        pages.append({"lines": [(w, 25 + 240 * c, 34 + 20 * r, 10) for r, row in enumerate(rows) for c, w in enumerate(row)], "rules": rules})
+    return samples.pdf(pages)
+
+
+def pdf_tables(spark, d):
+    """All words of a document in ruled tables of three columns, 30 rows a page, read back as Markdown."""
+    pages = pdf.read_pages(_files_of(spark, d, F.lit(".pdf"), _ruled))
+    return convert.pdf_texts(pages, False).select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), "text", "error")
+
+
+def pdf_images(spark, d):
+    """SRC10, SNK4: two pictures of a document, one of them on two pages, as files."""
+    page = lambda *numbers: {"images": [(10, 20 + 50 * k, 40, 40, n) for k, n in enumerate(numbers)]}
+    made = _files_of(spark, d, F.lit(".pdf"), lambda i, t: samples.pdf([page(1), page(1, 2 + i % 3)]))
+    rows = media.pdf_file_names(pdf.read_images(made).withColumn("prefix", media.stem("path")))
+    return rows.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), "page_index", "pos", "xref", "width", "height", "name")
+
+
+def zip_media(spark, d):
+    """SRC9, M6: pictures in a document's archive, in the order of their numbers, without empty ones and other folders'."""
+    entries = lambda i, t: [("word/media/image10.png", t.encode()), ("word/media/image2.JPG", b"two"), ("word/media/image3.png", b""), ("word/other/image1.png", b"x"), ("word/media/note.txt", b"x")]
+    made = _files_of(spark, d, F.lit(".docx"), lambda i, t: samples.docx(["p {image}"], entries(i, t)))
+    rows = media.ordinal_media(files.media(made), "path")
+    return rows.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), F.col("nth").cast("int").alias("nth"), "entry_name", "ext", F.md5("content").alias("digest"))
+
+
+def write_markdown(spark, d):
+    """SNK1-SNK3: texts and, of some, an index beside them, written as files once each and read back."""
+    folder = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    rows = documents(spark, d).select(F.col("doc_id").alias("queue_pos"), F.concat(F.lit(f"{folder}/"), "source", F.lit("/"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string"), F.lit(".md")).alias("destination"), "text")
+    kept = sinks.guard(rows, rows.filter("queue_pos % 10 = 0").select("destination"), overwrite=False).filter("status = 'ok'")
+    every = kept.select("destination", "text").unionByName(kept.filter("queue_pos % 4 = 0").select(sinks.index_path("destination").alias("destination"), F.concat(F.lit("# Index"), F.lit("\n")).alias("text")))
+    done = written(sinks.write_files(every, mounted=True), "written").filter("error is null")
+    back = files.scan_folder(spark, folder, (".md",)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "utf-8").alias("text"))
+    name = F.substring_index("path", "/", -1)
+    return back.join(done.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "n_bytes"), "path").select(name.alias("name"), "text", "n_bytes")
+
+
+def settings_saved(spark, d):
+    """SNK7, SRC12: each region's settings, saved as sorted JSON in one piece and read back."""
+    path = f"{shared_dir(spark)}/settings-{uuid.uuid4().hex}.json"
+    names = [r.r_name for r in _table(spark, d, "region").orderBy("r_regionkey").collect()]  # five rows
+    sinks.save_settings(path, {"regions": names, "images": "embed", "index": True, "mark": "å"})
+    parsed = files.settings("value", "regions array<string>, images string, index boolean, mark string")
+    return spark.read.text(path, wholetext=True).select(parsed.alias("s")).select(F.array_join("s.regions", ",").alias("regions"), "s.images", "s.index", "s.mark")
+
+
 def title_cased(spark, d):
     return documents(spark, d).select("doc_id", T.title_case("text").alias("title"))
 
@@ -359,8 +576,9 @@ def title_cased(spark, d):
 _PLAIN = (
     line_explode, line_rejoin, fence_state, frontmatter_end, skip_lines, strip_headers_footers, strip_page_numbers, strip_empty_headings,
     lint_md047, lint_all, lint_counts, fix_totals, boilerplate_lines, headings, headings_dedup, endpoints, endpoint_groups, index_gate, index_render,
-    line_predicates, table_markdown, table_clean, body_font_size, heading_levels, page_layout, page_images, page_unique_images, scanned_ratio,
-    media_dedupe, media_order, placeholder_media, substitute_markers, marker_uris, inline_to_files, truncated_to_base64, media_sections,
+    line_predicates, table_markdown, table_clean, table_zebra, table_exclusive, table_gate, body_font_size, heading_levels, page_layout, page_images, page_unique_images, scanned_ratio,
+    media_dedupe, media_order, placeholder_media, substitute_markers, marker_uris, inline_to_files, truncated_to_base64, media_sections, inline_whole, base64_strict, media_routes, image_cascade,
+    files_scanned, queue_edited, totals, convert_formats, convert_routes, pdf_text, pdf_tables, pdf_images, zip_media, write_markdown, settings_saved,
     zip_file_names, safe_stems, model_ids, queue_destinations, dest_collisions, enqueue, route, vision_models, endpoint_normalise, diagnose,
     html_markdown, settings, title_cased,
 )

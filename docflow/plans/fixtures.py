@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # What each residue of (doc_id * 7 + i * 5) % 41 does to line i.
 DECORATION = """CASE (doc_id*7 + i*5) % 41
@@ -35,7 +36,7 @@ DECORATION = """CASE (doc_id*7 + i*5) % 41
  WHEN 26 THEN '![i](data:image/png;base64...)'
  WHEN 27 THEN '1. first' || chr(10) || '3. second' || chr(10) || '   cont' || chr(10) || '7. third'
  WHEN 28 THEN chr(10) || 'Heading Like Line Here' || chr(10) || line || line
- WHEN 29 THEN '<!--MDGUI_IMG:x' || cast(i % 5 as string) || ':w10:h20-->'
+ WHEN 29 THEN '<!--image:x' || cast(i % 5 as string) || ':w10:h20-->'
  ELSE line END"""
 
 FRONT_MATTER = """CASE WHEN doc_id % 5 = 0 THEN '---' || chr(10) || 'title: T' || chr(10) || 'tags:' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || '---' || chr(10) ELSE '' END"""
@@ -56,7 +57,18 @@ def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT doc_id, source, {FRONT_MATTER} || listagg({DECORATION}, chr(10)) WITHIN GROUP (ORDER BY i) AS text FROM l GROUP BY doc_id, source""")
 
 
-def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One long document per source, in order of doc_id: doc_id (the source), source, text."""
-    md_docs(spark, sf_dir).createOrReplaceTempView("docflow_md_docs")
-    return spark.sql("SELECT source AS doc_id, source, listagg(text, chr(10)) WITHIN GROUP (ORDER BY doc_id) AS text FROM docflow_md_docs GROUP BY source")
+#: Fixed value: documents of a source and of this many ids in a row make one long document.
+PER_VOLUME = 1000
+
+
+def volume(doc_id: str = "doc_id", source: str = "source"):
+    """A source's documents of PER_VOLUME ids in a row: long enough for an index, and bounded whatever the source holds."""
+    return F.concat(F.col(source), F.lit("-"), F.floor(F.col(doc_id) / PER_VOLUME).cast("string"))
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long documents: doc_id (the volume), source (the same), text, the documents in order of their ids."""
+    rows = md_docs(spark, sf_dir).withColumn("volume", volume())
+    parts = F.sort_array(F.collect_list(F.struct("doc_id", "text")))
+    joined = rows.groupBy("volume").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+    return joined.select(F.col("volume").alias("doc_id"), F.col("volume").alias("source"), "text")

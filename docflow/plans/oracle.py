@@ -115,7 +115,8 @@ p1 AS (SELECT doc_id, text, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FRO
 SELECT doc_id, cast(len(list_filter(a, lambda x: {has('x', f'^#{{1,6}}{WS}*$')} OR {has('x', f'^#{{1,6}}{WS}+!\\[[^\\]]*\\]\\([^)]*\\){WS}*$')})) AS INT) AS altered,
  coalesce(list_aggregate(list_transform(list_filter(a, lambda x: NOT {has('x', f'^#{{1,6}}{WS}*$')}), lambda x: {sub('x', f'^#{{1,6}}{WS}+(!\\[[^\\]]*\\]\\([^)]*\\)){WS}*$', chr(92) + '1')}), 'string_agg', chr(10)), '') || CASE WHEN text LIKE '%' || chr(10) THEN chr(10) ELSE '' END AS text FROM p1"""
 # Index
-SRC = f"{MD}, by_source AS (SELECT source AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM md_docs GROUP BY source), {lines('by_source')}"
+VOLUME = "source || '-' || (doc_id // 1000)"
+SRC = f"{MD}, by_source AS (SELECT {VOLUME} AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM md_docs GROUP BY 1), {lines('by_source')}"
 _CODE = r'[(){}\[\]<>=;*+|/\\"' + "''`]"
 _S = "bare"
 _LETTERS = sub(_S, r"\P{L}", "")
@@ -204,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "lint_md031": inserted("up", "dn", _F, "f1"),
         "lint_md032": inserted("(st0 AND NOT was AND pb) OR (was AND NOT mem AND NOT b)", "false", _L, "l4"),
         "lint_md012": dropped(f"q AND p", f"{X}, q0 AS (SELECT *, b AND NOT s AS q FROM st), q1 AS (SELECT *, coalesce(lag(q) {OVER}, false) AS p FROM q0)", "q1"),
-        "lint_md047": f"WITH {MD} SELECT doc_id, cast(text <> regexp_replace(text, '\\n+$', '') || chr(10) AS BIGINT) AS n, regexp_replace(text, '\\n+$', '') || chr(10) AS text FROM md_docs",
+        "lint_md047": f"WITH {MD}, nl AS (SELECT doc_id, text AS old, CASE WHEN text = '' THEN '' ELSE regexp_replace(text, '\\n+$', '') || chr(10) END AS text FROM md_docs) SELECT doc_id, cast(text <> old AS BIGINT) AS n, text FROM nl",
         "headings": f"WITH {SRC}, {HEADS} SELECT doc_id, level, title, cast(line_no AS INT) AS line_no, kind FROM heads",
         "headings_dedup": f"WITH {SRC}, {DEDUP} SELECT doc_id, level, title, cast(line_no AS INT) AS line_no, kind FROM dedup",
         "endpoints": f"WITH {SRC}, {BOIL}, {ENDS} SELECT doc_id, method, path, cast(line_no AS INT) AS line_no, grp FROM ends",
@@ -220,16 +221,16 @@ SELECT k AS region, string_agg('| ' || rpad(a, wa::INT, ' ') || ' | ' || rpad(b,
         "body_font_size": """WITH n AS (SELECT l_suppkey, round_even(l_quantity, 1) AS s, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem WHERE l_quantity <> 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, f) AS k FROM n) SELECT l_suppkey, s AS body_size FROM r WHERE k = 1""",
         "heading_levels": "SELECT l_orderkey, l_linenumber, cast(CASE WHEN l_quantity / 20.0 >= 1.8 THEN 1 WHEN l_quantity / 20.0 >= 1.45 THEN 2 WHEN l_quantity / 20.0 >= 1.2 THEN 3 END AS INT) AS level FROM lineitem",
-        "scanned_ratio": f"SELECT source, count(*) AS n_pages, count(*) FILTER (WHERE length({strip('left(text, cast(doc_id % 60 AS INT))')}) < 50 AND doc_id % 7 > 0) AS n_scanned, count(*) FILTER (WHERE length({strip('left(text, cast(doc_id % 60 AS INT))')}) < 50 AND doc_id % 7 > 0) >= count(*) * 0.8 AS is_scanned FROM documents GROUP BY source",
-        "media_dedupe": """WITH a AS (SELECT source, doc_id, sha256(text) AS digest FROM documents), b AS (SELECT *, min(doc_id) OVER (PARTITION BY source, digest) AS f FROM a)
-SELECT source, doc_id, digest, cast(dense_rank() OVER (PARTITION BY source ORDER BY f) AS INT) AS image_no FROM b""",
-        "media_order": """WITH a AS (SELECT doc_id, 'word/media/' || CASE WHEN doc_id % 3 = 0 THEN 'logo' || doc_id % 11 ELSE 'image' || doc_id % 30 END || '.png' AS entry_name, source FROM documents),
-b AS (SELECT *, regexp_extract(entry_name, 'image([0-9]+)', 1) AS n FROM a) SELECT source, doc_id, entry_name, cast(row_number() OVER (PARTITION BY source ORDER BY n = '', coalesce(try_cast(n AS INT), 0), CASE WHEN n = '' THEN regexp_extract(entry_name, '/([^/.]+)[.]', 1) ELSE '' END, doc_id) AS INT) AS nth FROM b""",
-        "placeholder_media": f"""WITH {MD}, t AS (SELECT doc_id, source, unnest(range(1, 1 + (len(string_split(text, 'data:image/png;base64...')) - 1))) AS nth FROM md_docs), t1 AS (SELECT * FROM t),
-m AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth, doc_id AS media FROM documents WHERE doc_id % 50 = 0), c AS (SELECT source, max(nth) AS n FROM m GROUP BY source)
-SELECT t1.doc_id, cast(t1.nth AS INT) AS nth, m.media FROM t1 LEFT JOIN c USING (source) LEFT JOIN m ON m.source = t1.source AND m.nth = least(t1.nth, c.n)""",
-        "substitute_markers": f"""WITH {MD} SELECT doc_id, regexp_replace(regexp_replace(text, '<!--MDGUI_IMG:x([0-2]):w[0-9]+:h[0-9]+-->', '![image](images/d' || doc_id || '_x\\1.png)', 'g'), '<!--MDGUI_IMG:x[0-9]+:w[0-9]+:h[0-9]+-->', '', 'g') AS text,
- cast(len(regexp_extract_all(text, '<!--MDGUI_IMG:x[0-2]:w[0-9]+:h[0-9]+-->')) AS BIGINT) AS n_placed FROM md_docs""",
+        "scanned_ratio": f"SELECT source, count(*) AS n_pages, count(*) FILTER (WHERE length({strip('text')}) < 50 AND doc_id % 7 > 0) AS n_scanned, count(*) FILTER (WHERE length({strip('text')}) < 50 AND doc_id % 7 > 0) >= count(*) * 0.8 AS is_scanned FROM documents GROUP BY source",
+        "media_dedupe": f"""WITH a AS (SELECT {VOLUME} AS volume, doc_id, sha256(text) AS digest FROM documents), b AS (SELECT *, min(doc_id) OVER (PARTITION BY volume, digest) AS f FROM a)
+SELECT volume, doc_id, digest, cast(dense_rank() OVER (PARTITION BY volume ORDER BY f) AS INT) AS image_no FROM b""",
+        "media_order": f"""WITH a AS (SELECT doc_id, 'word/media/' || CASE WHEN doc_id % 3 = 0 THEN 'logo' || doc_id % 11 ELSE 'image' || doc_id % 30 END || '.png' AS entry_name, {VOLUME} AS volume FROM documents),
+b AS (SELECT *, regexp_extract(entry_name, 'image([0-9]+)', 1) AS n FROM a) SELECT volume, doc_id, entry_name, cast(row_number() OVER (PARTITION BY volume ORDER BY n = '', coalesce(try_cast(n AS INT), 0), CASE WHEN n = '' THEN regexp_extract(entry_name, '/([^/.]+)[.]', 1) ELSE '' END, doc_id) AS INT) AS nth FROM b""",
+        "placeholder_media": f"""WITH {MD}, t AS (SELECT doc_id, {VOLUME} AS volume, unnest(range(1, 1 + (len(string_split(text, 'data:image/png;base64...')) - 1))) AS nth FROM md_docs), t1 AS (SELECT * FROM t),
+m AS (SELECT {VOLUME} AS volume, row_number() OVER (PARTITION BY {VOLUME} ORDER BY doc_id) AS nth, doc_id AS media FROM documents), c AS (SELECT volume, max(nth) AS n FROM m GROUP BY volume)
+SELECT t1.doc_id, cast(t1.nth AS INT) AS nth, m.media FROM t1 LEFT JOIN c USING (volume) LEFT JOIN m ON m.volume = t1.volume AND m.nth = least(t1.nth, c.n)""",
+        "substitute_markers": f"""WITH {MD} SELECT doc_id, regexp_replace(regexp_replace(text, '<!--image:x([0-2]):w[0-9]+:h[0-9]+-->', '![image](images/d' || doc_id || '_x\\1.png)', 'g'), '<!--image:x[0-9]+:w[0-9]+:h[0-9]+-->', '', 'g') AS text,
+ cast(len(regexp_extract_all(text, '<!--image:x[0-2]:w[0-9]+:h[0-9]+-->')) AS BIGINT) AS n_placed FROM md_docs""",
         "safe_stems": "SELECT page_id, coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-'), ''), 'image') AS stem FROM pages",
         "queue_destinations": """WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '/in/') AS src FROM pages), q AS (SELECT page_id, src, regexp_extract(src, '([^/]*)$', 1) AS name FROM p),
 r AS (SELECT page_id, src, CASE WHEN regexp_matches(name, '.[.][^.]*$') THEN regexp_replace(name, '[.][^.]*$', '') ELSE name END AS stem FROM q)
@@ -238,7 +239,7 @@ SELECT page_id, '/out/' || stem || '.md' AS flat, CASE WHEN starts_with(src, '/i
 r AS (SELECT page_id, '/out/' || CASE WHEN regexp_matches(name, '.[.][^.]*$') THEN regexp_replace(name, '[.][^.]*$', '') ELSE name END || '.md' AS destination FROM q)
 SELECT page_id, destination, cast(row_number() OVER (PARTITION BY destination ORDER BY page_id) - 1 AS INT) AS collision FROM r""",
         "enqueue": "WITH p AS (SELECT source AS batch, lang AS path, min(doc_id) AS a FROM documents GROUP BY ALL) SELECT batch, path AS source, cast(row_number() OVER (PARTITION BY batch ORDER BY a, path) - 1 AS INT) AS queue_pos FROM p",
-        "route": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'OCR' ELSE 'text' END AS route, length(text) < 50 AS near_empty FROM (SELECT doc_id, " + strip("text") + " AS text FROM documents)",
+        "route": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'OCR' ELSE 'text' END AS route, length(text) < 50 AS near_empty FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 49) || chr(10) ELSE text END AS text FROM documents)",
         "vision_models": "SELECT p_partkey, (contains(m, 'gpt-4o') OR contains(m, 'llava') OR contains(m, 'o1') OR contains(m, 'o3') OR contains(m, 'vlm') OR contains(m, 'gemma3') OR contains(m, 'pixtral')) AS vision FROM (SELECT p_partkey, lower(CASE p_partkey % 5 WHEN 0 THEN 'LLaVA:7b-' WHEN 1 THEN 'gpt-4o-' WHEN 2 THEN 'mistral-' WHEN 3 THEN 'Gemma3:' ELSE 'text-' END || p_partkey) AS m FROM part)",
         "endpoint_normalise": "WITH u AS (SELECT page_id, rtrim(CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^([a-z]+://[^/]*)', 1) || '/' ELSE url END, '/') AS b FROM pages) SELECT page_id, CASE WHEN b = '' OR regexp_extract(b, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) <> '' THEN b ELSE b || '/v1' END AS endpoint FROM u",
         "diagnose": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'memory' WHEN 1 THEN 'connection' WHEN 2 THEN 'auth' WHEN 3 THEN 'not_found' WHEN 4 THEN 'timeout' ELSE 'default' END AS diagnosis FROM events",
@@ -265,14 +266,123 @@ SELECT st.doc_id, count(want)::BIGINT AS n, string_agg(CASE WHEN want IS NOT NUL
     uri = "'data:image/png;base64,' || to_base64(encode(source || doc_id % 2))"
     token = "data:image/png;base64..."
     out |= {
-        "truncated_to_base64": f"WITH {MD} SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN replace(text, '{token}', {uri}) ELSE text END AS text FROM md_docs",
-        "inline_to_files": f"WITH {MD} SELECT doc_id, replace(text, '{token}', CASE WHEN doc_id % 3 > 0 THEN 'images/doc_' || doc_id || '_image1.png' ELSE '' END) AS text, CASE WHEN doc_id % 3 > 0 AND contains(text, '{token}') THEN 1 ELSE 0 END AS n_images FROM md_docs",
-        "media_sections": f"SELECT doc_id, '## Embedded images' || {_NN} || '### Page ' || (doc_id % 2 + 1) || {_NN} || '![image 1](' || {uri} || ')' AS section, 'pdf' AS kind FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, '## Embedded images' || {_NN} || '![image 1](' || {uri} || ')', 'zip' FROM documents WHERE doc_id % 3 > 0",
-        "marker_uris": f"WITH {MD} SELECT doc_id, regexp_replace(regexp_replace(text, '<!--MDGUI_IMG:x[0-3]:w[0-9]+:h[0-9]+-->', '![image](data:image/png;base64,' || to_base64(encode(source)) || ')', 'g'), '<!--MDGUI_IMG:x[0-9]+:w[0-9]+:h[0-9]+-->', '', 'g') AS text, len(regexp_extract_all(text, '<!--MDGUI_IMG:x[0-3]:w[0-9]+:h[0-9]+-->'))::BIGINT AS n_placed FROM md_docs",
-        "page_images": "SELECT doc_id - doc_id % 3 AS doc_id, (doc_id % 3)::INT AS page_index, 21.0::DOUBLE AS y, '<!--MDGUI_IMG:x' || doc_id % 9 || ':w' || doc_id % 6 || ':h8-->' AS placeholder FROM documents WHERE doc_id % 2 = 0 AND doc_id % 9 > 0 AND doc_id % 6 >= 4",
+        "truncated_to_base64": f"WITH {MD} SELECT doc_id, replace(text, '{token}', {uri}) AS text FROM md_docs",
+        "inline_to_files": f"WITH {MD} SELECT doc_id, replace(text, '{token}', 'images/doc_' || doc_id || '_image1.png') AS text, contains(text, '{token}')::INT AS n_images FROM md_docs",
+        "media_sections": f"SELECT doc_id, '## Embedded images' || {_NN} || '### Page ' || (doc_id % 2 + 1) || {_NN} || '![Page ' || (doc_id % 2 + 1) || ' image 7 (' || doc_id % 9 || 'x' || doc_id % 9 || ')](' || {uri} || ')' AS section, 'pdf' AS kind FROM documents UNION ALL SELECT doc_id, '## Embedded images' || {_NN} || '![image 1](' || {uri} || ')', 'zip' FROM documents",
+        "marker_uris": f"WITH {MD} SELECT doc_id, regexp_replace(regexp_replace(text, '<!--image:x[0-3]:w[0-9]+:h[0-9]+-->', '![image](data:image/png;base64,' || to_base64(encode(source)) || ')', 'g'), '<!--image:x[0-9]+:w[0-9]+:h[0-9]+-->', '', 'g') AS text, len(regexp_extract_all(text, '<!--image:x[0-3]:w[0-9]+:h[0-9]+-->'))::BIGINT AS n_placed FROM md_docs",
+        "page_images": "SELECT doc_id - doc_id % 3 AS doc_id, (doc_id % 3)::INT AS page_index, 21.0::DOUBLE AS y, '<!--image:x' || doc_id % 9 || ':w' || doc_id % 6 || ':h8-->' AS placeholder FROM documents WHERE doc_id % 2 = 0 AND doc_id % 9 > 0 AND doc_id % 6 >= 4",
         "page_unique_images": "SELECT doc_id - doc_id % 3 AS doc_id, (doc_id % 9)::INT AS xref, min(doc_id % 3)::INT AS page_index FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2",
         "model_ids": "SELECT p_partkey, CASE WHEN p_brand = p_type THEN p_brand ELSE least(p_brand, p_type) || ',' || greatest(p_brand, p_type) END AS ids FROM part",
         "settings": "SELECT event_id, (props::JSON->>'k')::INT AS k FROM events",
         "title_cased": f"SELECT doc_id, {_title('text')} AS title FROM documents",
     }
-    return out
+    return out | grids() | made_files() | choices() | chains(out)
+
+
+_WORDS_OF = f"list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '')"
+
+
+def padded(cells: str, key: str = "doc_id") -> str:
+    """CTE tb (key, md): the padded Markdown table of cells (key, r, k, v), the first row its header."""
+    return f"""tx AS (SELECT {key}, k, greatest(3, max(length(v)))::INT AS n FROM {cells} GROUP BY ALL),
+tg AS (SELECT r.*, x.k, x.n, coalesce(c.v, '') AS v FROM (SELECT DISTINCT {key}, r FROM {cells}) r JOIN tx x USING ({key}) LEFT JOIN {cells} c USING ({key}, r, k)),
+tl AS (SELECT {key}, r, '| ' || string_agg(rpad(v, n, ' '), ' | ' ORDER BY k) || ' |' AS line, '|' || string_agg(repeat('-', n + 2), '|' ORDER BY k) || '|' AS rule FROM tg GROUP BY ALL),
+tb AS (SELECT {key}, string_agg(line || CASE WHEN r = 0 THEN chr(10) || rule ELSE '' END, chr(10) ORDER BY r) AS md FROM tl GROUP BY ALL)"""
+
+
+def grids() -> dict[str, str]:
+    def words(width: int, least: int, v: str = "replace(w[i], '|', '\\|')") -> str:
+        return f"w0 AS (SELECT doc_id, {_WORDS_OF} AS w FROM documents), c AS (SELECT doc_id, (i - 1) // {width} AS r, (i - 1) % {width} AS k, {v} AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w0) WHERE len(w) >= {least})"
+
+    every = "SELECT d.doc_id, md AS markdown FROM documents d LEFT JOIN tb USING (doc_id)"
+    short = "z AS (SELECT * FROM c UNION ALL SELECT doc_id, max(r), k0, '-' FROM c, (SELECT unnest([1, 3]) AS k0) GROUP BY doc_id, k0 HAVING count(*) % 4 BETWEEN 1 AND k0)"
+    level = f"CASE WHEN i % 7 = 0 THEN 1 WHEN i % 5 = 0 THEN 2 END"
+    head = f"i % 7 = 0 OR i % 5 = 0"
+    return {
+        "table_clean": f"WITH {words(4, 5, "replace(w[i], '|', '\\|') || ' \\|'")}, {padded('c')} {every}",
+        "table_zebra": f"WITH {words(4, 5)}, {short}, {padded('z')} {every}",
+        "table_exclusive": f"WITH {words(2, 3)}, {padded('c')} {every}",
+        "table_gate": f"""WITH {lines('documents')}, t AS (SELECT doc_id, replace({strip('line')}, '|', '\\|') AS t FROM ln)
+SELECT doc_id, count(*) >= 2 AND count(*) FILTER (WHERE length(t) > 120) <= 0.3 * (count(*) + count(*) FILTER (WHERE t <> '')) AS is_table FROM t GROUP BY doc_id""",
+        "page_layout": f"""WITH {lines('documents')}, p AS (SELECT doc_id, line_no AS i, {strip('line')} AS t FROM ln),
+q AS (SELECT doc_id, i, CASE WHEN ({head}) AND length(t) <= 120 AND length({sub('t', chr(92) + 'P{L}', '')}) >= 3 AND NOT contains(t, '|') THEN chr(10) || repeat('#', {level}) || ' ' || t || chr(10) ELSE t END AS x,
+ doc_id % 2 = 0 AND doc_id % 9 > 0 AND doc_id % 6 >= 4 AS img, doc_id % 4 = 0 AS tab FROM p),
+b AS (SELECT doc_id, CASE WHEN img AND i = 0 THEN 0 WHEN img AND tab AND i = 1 THEN 2 WHEN tab AND i < 2 THEN 0 WHEN tab AND i = 2 THEN NULL WHEN tab THEN 4 WHEN img THEN 2 ELSE 0 END AS pl, i, x FROM q WHERE x <> ''),
+k AS (SELECT doc_id, pl, {strip("string_agg(x, chr(10) ORDER BY i)")} AS md FROM b WHERE pl IS NOT NULL GROUP BY 1, 2
+ UNION ALL SELECT doc_id, 1, '<!--image:x' || doc_id % 9 || ':w' || doc_id % 6 || ':h8-->' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 9 > 0 AND doc_id % 6 >= 4
+ UNION ALL SELECT doc_id, 3, '| a   | b   |' || chr(10) || '|-----|-----|' || chr(10) || '| 1   | 2   |' FROM documents WHERE doc_id % 4 = 0),
+g AS (SELECT doc_id, string_agg(md, {_NN} ORDER BY pl) AS md FROM k WHERE md <> '' GROUP BY 1)
+SELECT d.doc_id - d.doc_id % 3 AS doc_id, coalesce(string_agg(md, {_NN} ORDER BY d.doc_id) FILTER (WHERE md <> ''), '') AS markdown FROM documents d LEFT JOIN g USING (doc_id) GROUP BY 1""",
+        "zip_file_names": """WITH RECURSIVE m AS (SELECT source || '-' || (doc_id // 400) AS key, doc_id, 'doc_x' || CASE WHEN doc_id % 5 = 0 THEN '_2' ELSE '' END AS base, row_number() OVER (PARTITION BY source, doc_id // 400 ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT key, k, doc_id, base || '.png' AS name, [base || '.png'] AS used FROM m WHERE k = 1
+ UNION ALL SELECT key, k, doc_id, name, list_append(used, name) FROM (SELECT m.key, m.k, m.doc_id, r.used, list_filter(list_transform(range(1, m.k + 1), lambda i: m.base || CASE WHEN i > 1 THEN '_' || i ELSE '' END || '.png'), lambda x: NOT list_contains(r.used, x))[1] AS name FROM r JOIN m ON m.key = r.key AND m.k = r.k + 1))
+SELECT key, doc_id, name FROM r""",
+    }
+
+
+def made_files() -> dict[str, str]:
+    """Queries that make files of documents and read them back: what was put in."""
+    flat = f"array_to_string({_WORDS_OF.replace('text', 'line')}, ' ')"
+    cell = lambda c: f"replace({c}, '|', '\\|')"
+    table = lambda c: f"string_agg('| ' || i || ' | ' || {cell(c)} || ' |' || CASE WHEN i = 0 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY i)"
+    parts = lambda c, by: f"coalesce(string_agg({c}, {by} ORDER BY i) FILTER (WHERE {c} <> ''), '')"
+    formats = [
+        "any_value(text)", table(flat), table(flat.replace("line", "replace(line, chr(34), '')")), "'```json' || chr(10) || '{' || chr(10) || '  \"text\": ' || any_value(to_json(text)) || chr(10) || '}' || chr(10) || '```'",
+        "'```xml' || chr(10) || '<d>' || any_value(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) || '</d>' || chr(10) || '```'",
+        parts("line", _NN), f"'<!-- Slide number: 1 -->' || chr(10) || {parts('line', 'chr(10)')}", f"'## S' || {_NN} || {table('line')}", parts(flat, _NN), parts(flat, _NN),
+        parts(strip("line"), _NN), f"'## S' || {_NN} || {table('line')}", f"any_value({strip('text')})", f"'## File: a.txt' || {_NN} || any_value(text)",
+    ]
+    rows = "ln AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
+    cases = " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(formats))
+    scanned = "doc_id % 5 = 0"
+    return {
+        "convert_formats": f"WITH {rows} SELECT doc_id, CASE doc_id % 14 {cases} END AS text, NULL::VARCHAR AS error FROM ln GROUP BY doc_id",
+        "convert_routes": f"""SELECT doc_id, CASE WHEN {scanned} AND strlen(text) % 2 = 1 THEN '*[OCR failed: no model]*' WHEN {scanned} THEN strlen(text) || ' bytes read' WHEN doc_id % 3 = 0 AND strlen(text) <= 3000 THEN 'own: ' || text WHEN doc_id % 3 = 1 THEN text END AS text,
+ CASE WHEN {scanned} AND strlen(text) % 2 = 1 THEN 'RuntimeError: no model' WHEN {scanned} THEN NULL WHEN doc_id % 3 = 0 AND strlen(text) > 3000 THEN 'ValueError: too long' WHEN doc_id % 3 = 2 THEN 'no converter accepts this file' END AS error,
+ CASE WHEN {scanned} THEN 'OCR' ELSE 'text' END AS route FROM documents""",
+        "pdf_text": f"""WITH {rows}, pg AS (SELECT doc_id, i // 40 AS p, {parts(flat, 'chr(10)')} AS md FROM ln GROUP BY 1, 2)
+SELECT doc_id, coalesce(string_agg(md, {_NN} ORDER BY p) FILTER (WHERE md <> ''), '') AS text, NULL::VARCHAR AS error FROM pg GROUP BY 1""",
+        "pdf_tables": f"""WITH w0 AS (SELECT doc_id, {_WORDS_OF} AS w FROM documents), w1 AS (SELECT doc_id, w[i] AS v, (i - 1) // 90 AS p, (i - 1) % 90 // 3 AS r, (i - 1) % 3 AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w0)),
+n AS (SELECT doc_id, p, count(*) AS n FROM w1 GROUP BY 1, 2), c AS (SELECT doc_id * 100000 + p AS page, r, k, replace(v, '|', '\\|') AS v FROM w1 JOIN n USING (doc_id, p) WHERE n > 3), {padded('c', 'page')},
+a AS (SELECT page // 100000 AS doc_id, page % 100000 AS p, md FROM tb UNION ALL SELECT doc_id, p, string_agg(v, ' ' ORDER BY k) FROM w1 JOIN n USING (doc_id, p) WHERE n <= 3 GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(string_agg(md, {_NN} ORDER BY p), '') AS text, NULL::VARCHAR AS error FROM documents d LEFT JOIN a USING (doc_id) GROUP BY 1""",
+        "pdf_images": "SELECT doc_id, k AS page_index, k AS pos, 10 + k AS xref, 8 AS width, 8 AS height, doc_id || '_p' || (k + 1) || '_' || (10 + k) || '.png' AS name FROM documents, (SELECT unnest([0, 1])::INT AS k)",
+        "zip_media": "SELECT doc_id, 1 AS nth, 'word/media/image2.JPG' AS entry_name, '.jpg' AS ext, md5('two') AS digest FROM documents UNION ALL SELECT doc_id, 2, 'word/media/image10.png', '.png', md5(text) FROM documents WHERE text <> ''",
+        "write_markdown": """WITH a AS (SELECT doc_id, source, doc_id - doc_id % 2 AS even, text, row_number() OVER (PARTITION BY source, doc_id - doc_id % 2 ORDER BY doc_id) AS r FROM documents),
+k AS (SELECT * FROM a WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 10 = 0 AND e.doc_id = a.even AND e.source = a.source))
+SELECT even || '.md' AS name, text, strlen(text)::BIGINT AS n_bytes FROM k UNION ALL SELECT even || '.index.md', '# Index' || chr(10), 8 FROM k WHERE doc_id % 4 = 0""",
+        "inline_whole": "SELECT doc_id, '![i](images/d_image1.jpg) a ![i](images/d_image2.png) b ![i](images/d_image1.jpg) c ![i](data:image/png;base64,aW1)' AS text, 2 AS n_images, 'd_image1.jpg ' || sha256(text) || ';d_image2.png ' || sha256('img') AS files FROM documents WHERE text <> ''",
+        "base64_strict": "SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 2) THEN text END AS decoded FROM documents",
+    }
+
+
+def choices() -> dict[str, str]:
+    return {
+        "media_routes": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'zip' WHEN 3 THEN 'zip' END AS route, doc_id % 6 < 2 AS running, doc_id % 6 = 0 AS numbers, doc_id % 6 = 0 OR doc_id % 4 = 0 AS is_pdf FROM documents",
+        "image_cascade": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'placed' WHEN doc_id % 2 = 1 THEN 'inline' WHEN doc_id % 5 > 0 THEN {rstrip('text')} || {_NN} || 's' || doc_id || chr(10) ELSE text || ' ' || chr(10) END AS text,
+ CASE WHEN doc_id % 3 = 1 AND text <> '' THEN text ELSE source END AS fallback, CASE WHEN doc_id % 2 = 0 THEN 'embed' WHEN doc_id % 3 = 0 THEN 'extract' ELSE 'none' END AS mode, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 > 0 THEN 'an API key or an endpoint is needed' END AS missing FROM documents""",
+        "files_scanned": "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS name, 'scan' AS how UNION ALL SELECT unnest(['region', 'nation']) || '.parquet', 'list'",
+        "settings_saved": "SELECT string_agg(r_name, ',' ORDER BY r_regionkey) AS regions, 'embed' AS images, true AS index, 'å' AS mark FROM region",
+        "queue_edited": "SELECT '/in/' || source || '/' || doc_id % 50 || '.txt' AS source, min(doc_id) AS queue_pos FROM documents WHERE doc_id % 10 <> 7 GROUP BY 1",
+        "totals": "SELECT count(*) FILTER (WHERE doc_id % 7 > 0 AND doc_id % 11 > 0) AS succeeded, count(*) FILTER (WHERE doc_id % 7 = 0 OR doc_id % 11 = 0) AS failed FROM documents",
+    }
+
+
+#: The lint rules in order.
+CHAIN = ("formfeed", "md010", "md025", "md009", "md018", "md026", "md034", "bullet", "heading", "rejoin", "callout", "md029", "md022", "md031", "md032", "md012", "md047")
+
+
+def chains(single: dict[str, str]) -> dict[str, str]:
+    """R18 as the single rules' SQL one after the other: each reads the texts that the one before gives."""
+    on = lambda name, table: single[name].replace(MD, f"md_docs AS (SELECT doc_id, text FROM {table})").replace("FROM documents", f"FROM {table}")
+    step = lambda name, before: f"{name} AS MATERIALIZED ({on(name, before)})"
+    rules = [f"lint_{r}" for r in CHAIN]
+    lint = lambda first: ", ".join(step(r, b) for r, b in zip(rules, [first, *rules[:-1]], strict=True))
+    told = ", ".join(f"CASE WHEN {r}.n > 0 THEN '\"{c}\":' || {r}.n END" for r, c in zip(rules, CHAIN, strict=True))
+    joined = " ".join(f"JOIN {r} USING (doc_id)" for r in rules[:-1])
+    before = ", ".join([f"raw AS MATERIALIZED (SELECT doc_id, text FROM md_docs)", step("strip_empty_headings", "raw"), step("strip_headers_footers", "strip_empty_headings"), step("strip_page_numbers", "strip_headers_footers")])
+    counts = " UNION ALL ".join(f"SELECT '{c}' AS rule, sum(n)::BIGINT AS n FROM {r} HAVING sum(n) > 0" for r, c in zip(rules, CHAIN, strict=True))
+    return {
+        "lint_all": f"WITH {MD}, {before}, {lint('strip_page_numbers')} SELECT doc_id, lint_md047.text, '{{' || concat_ws(',', {told}) || '}}' AS fixes FROM lint_md047 {joined}",
+        "lint_counts": f"WITH {MD}, raw AS MATERIALIZED (SELECT doc_id, text FROM md_docs), {lint('raw')} {counts}",
+    }
