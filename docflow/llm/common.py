@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
-import os
-import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where none is set and everything runs in one local process (tests), a temporary folder
-    of this machine; on a cluster that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        path = os.path.join(tempfile.gettempdir(), "docflow-checkpoints")
-    return path.rstrip("/")
+from docflow.functions.shared import shared_dir
 
 
 def _folder(spark: SparkSession, path: str):
@@ -97,3 +84,31 @@ def pieces(df: DataFrame, least: int) -> int:
     """
     size = input_bytes(df)
     return -(-size // max(least, math.isqrt(ROW_BYTES * size)))
+
+
+def _murmur(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of 32-bit integers (Murmur3 with seed 42), by which it deals rows to partitions."""
+    turn = lambda v, r: v << np.uint32(r) | v >> np.uint32(32 - r)
+    h = np.uint32(42) ^ turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
+@functools.lru_cache(maxsize=8)
+def group_keys(n: int) -> np.ndarray:
+    """n integers of which repartition(n, column) puts each in a partition of its own, number i in partition i.
+
+    Groups with these keys share no task, so that the largest task holds one group whatever
+    n is; under keys 0..n-1 some partitions would hold several groups and others none.
+    """
+    out, left, at = np.zeros(n, np.int32), n, 0
+    found = np.zeros(n, bool)
+    while left:
+        keys = np.arange(at, at + 4 * n, dtype=np.int32)
+        home, first = np.unique(np.mod(_murmur(keys), n), return_index=True)
+        new = ~found[home]
+        out[home[new]], found[home[new]] = keys[first[new]], True
+        left, at = n - int(found.sum()), at + 4 * n
+    return out
