@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import input_bytes, pieces
+from .common import group_keys, input_bytes, pieces
 
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 FOLDS, HELD_OUT = 7, 2
@@ -126,14 +126,19 @@ def _unpacked(table: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray]:
     return table, texts, table.column("train").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
-    names = ["batch", "row_key", "doc_id", "train"]
-    for batch in batches:
-        raw, offsets = K.binary_buffers(K.ids_of(batch, "text"))
-        ends = offsets.tolist()
-        packed = pa.array([pack(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(K.ids_of(batch, c) for c in names), packed], names=[*names, "packed"])
+def _pack(n_batches: int):
+    names = ["row_key", "doc_id", "train"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, of = zstandard.ZstdCompressor(level=3).compress, group_keys(n_batches)
+        for batch in batches:
+            raw, offsets = K.binary_buffers(K.ids_of(batch, "text"))
+            ends = offsets.tolist()
+            packed = pa.array([pack(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            home = of[np.mod(K.ids_of(batch, "row_key").to_numpy(), n_batches)]
+            yield pa.RecordBatch.from_arrays([pa.array(home), *(K.ids_of(batch, c) for c in names), packed], names=["batch", *names, "packed"])
+
+    return run
 
 
 _ASKED = [f"{x}{n}" for n in range(1, ORDER + 1) for x in ("keys", "counts")]
@@ -153,7 +158,7 @@ def _ask(buckets: int, bits: int):
             out.append([_planes(n[a:b]) for a, b in parts])
         del asked
         K.trim()
-        return pa.table([pa.array([key[0].as_py()] * buckets, pa.int32()), pa.array(range(buckets), pa.int32()), *(pa.array(x, pa.binary()) for x in out)], names=["batch", "bucket", *_ASKED])
+        return pa.table([pa.array([key[0].as_py()] * buckets, pa.int32()), pa.array(group_keys(buckets)), *(pa.array(x, pa.binary()) for x in out)], names=["batch", "bucket", *_ASKED])
 
     return run
 
@@ -266,14 +271,21 @@ class Automaton:
         return added
 
 
+def _in_order(answers: pa.Table, buckets: int) -> pa.Table:
+    """A batch's answers in the order of the hash ranges, one of each bucket."""
+    keys = answers.column("bucket").to_numpy()
+    by_key = np.argsort(keys)
+    return answers.take(pa.array(by_key[np.searchsorted(keys[by_key], group_keys(buckets))]))
+
+
 def _totals(answers: pa.Table, column: str) -> np.ndarray:
     return np.concatenate([_numbers(x.as_buffer()) for x in answers.column(column)]).astype(np.int64)
 
 
-def _score(bits: int, id_name: str):
+def _score(buckets: int, bits: int, id_name: str):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         del key
-        answers = answers.sort_by([("bucket", "ascending")])
+        answers = _in_order(answers, buckets)
         docs, texts, train = _unpacked(docs)
         _, start, asked = _asked(texts, train, bits)
         del texts
@@ -311,11 +323,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     key = F.xxhash64("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = source.select(F.pmod(key, F.lit(n_batches)).cast("int").alias("batch"), key.alias("row_key"), "doc_id", (fold != held_out).alias("train"), "text")
-    # As many partitions as groups, so that a task's work does not grow with the input.
-    packed = rows.mapInArrow(_pack, f"batch int, row_key long, doc_id {kind}, train boolean, packed binary").repartition(n_batches, "batch")
+    rows = source.select(key.alias("row_key"), "doc_id", (fold != held_out).alias("train"), "text")
+    # As many partitions as groups, one in each (group_keys), so that a task's work does not grow with the input.
+    packed = rows.mapInArrow(_pack(n_batches), f"batch int, row_key long, doc_id {kind}, train boolean, packed binary").repartition(n_batches, "batch")
     binaries = lambda names: ", ".join(f"{c} binary" for c in names)
     asked = packed.groupBy("batch").applyInArrow(_ask(n_buckets, bits), f"batch int, bucket int, {binaries(_ASKED)}").repartition(n_buckets, "bucket")
     answers = asked.groupBy("bucket").applyInArrow(_sum_bucket, f"batch int, bucket int, {binaries([*_TOTALS, 'stats'])}").repartition(n_batches, "batch")
-    out = packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(bits, "doc_id"), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(n_buckets, bits, "doc_id"), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)
