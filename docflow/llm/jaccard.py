@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, pieces, small_batches
+from .common import cut, group_keys, pieces, small_batches
 from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4  # shingles of 5 words; similarity of 3/4 or more
@@ -100,6 +100,8 @@ def _to_fragments(n: int, bits: int):
         held: list[tuple] = []
         size = 0
 
+        dealt = group_keys(1 << bits).tolist()
+
         def flush() -> Iterator[pa.RecordBatch]:
             keys, sizes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             grams = np.concatenate([x[2] for x in held])
@@ -114,7 +116,7 @@ def _to_fragments(n: int, bits: int):
             for f, lo, hi in zip(there.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 start = np.flatnonzero(np.concatenate([[True], own[lo + 1 : hi] != own[lo : hi - 1]]))
                 mine = own[lo:hi][start]
-                for x, v in zip(out, (f, keys[mine].tobytes(), sizes[mine].astype(np.uint32).tobytes(), np.diff(np.append(start, hi - lo)).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()), strict=True):
+                for x, v in zip(out, (dealt[f], keys[mine].tobytes(), sizes[mine].astype(np.uint32).tobytes(), np.diff(np.append(start, hi - lo)).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()), strict=True):
                     x.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["fragment", "keys", "sizes", "counts", "low", "high"])
@@ -148,6 +150,8 @@ def _count_fragment(bits: int):
     inner = np.uint64((1 << min(48, 64 - bits)) - 1)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        dealt = group_keys(1 << bits)
+        fragment = int(np.flatnonzero(dealt == key[0].as_py())[0])
         kinds = (("keys", np.uint64), ("sizes", np.uint32), ("counts", np.uint32), ("low", np.uint32), ("high", np.uint16))
         keys, sizes, counts, low, high = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in kinds)
         gram = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
@@ -167,7 +171,7 @@ def _count_fragment(bits: int):
         gram, own, df = gram[keep], own[keep], df[keep]
         order = np.argsort(own, kind="stable")
         packed = np.empty(len(order), _PACKED)
-        packed["g"], packed["f"] = gram[order] & inner | np.uint64(key[0].as_py() << 64 - bits if bits else 0), np.minimum(df[order], 0xFFFFFFFF)
+        packed["g"], packed["f"] = gram[order] & inner | np.uint64(fragment << 64 - bits if bits else 0), np.minimum(df[order], 0xFFFFFFFF)
         sets, n = np.unique(own, return_counts=True)
         home = (names[sets] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sets), np.int64)
         there = np.unique(home)  # set keys ascend, and so do homes
@@ -176,7 +180,7 @@ def _count_fragment(bits: int):
         out: list[list] = [[] for _ in range(5)]
         for h, lo, hi in zip(there.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             mine = sets[lo:hi]
-            for x, v in zip(out, (h, names[mine].tobytes(), sizes[at[mine]].tobytes(), n[lo:hi].astype(np.uint32).tobytes(), packed[start[lo] : start[hi]].tobytes()), strict=True):
+            for x, v in zip(out, (int(dealt[h]), names[mine].tobytes(), sizes[at[mine]].tobytes(), n[lo:hi].astype(np.uint32).tobytes(), packed[start[lo] : start[hi]].tobytes()), strict=True):
                 x.append(v)
         del gram, own, df, packed, order
         K.trim()
