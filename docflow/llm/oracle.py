@@ -40,3 +40,7 @@ b AS (SELECT *, trim(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '
 c AS (SELECT y FROM b WHERE len(list_filter(string_split(y, ' '), lambda w: w <> '')) >= 3 GROUP BY 1 HAVING count(DISTINCT source) >= 10)
 SELECT doc_id, count(*) FILTER (WHERE b.y <> '')::BIGINT AS n_lines, count(c.y)::BIGINT AS n_removed, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE c.y IS NULL), '')) AS kept_sha256 FROM b LEFT JOIN c USING (y) GROUP BY 1""",
 }
+
+_RULES = ("few_words", "repeated_windows", "many_symbols", "many_exclamations", "short_or_long_words", "repeated_lines")
+_EACH = " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER (WHERE failures & {1 << k} <> 0) AS rejected, count(*) FILTER (WHERE failures = {1 << k}) AS only FROM led" for k, r in enumerate(_RULES))
+ORACLE_SQL["quality_ablation"] = f"WITH led AS ({ORACLE_SQL['op6_quality_rules']}) {_EACH}"

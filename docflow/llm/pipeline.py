@@ -32,14 +32,22 @@ def _rewritten(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current policy; the others go."""
+    """Documents that pass the current policy; the others go.
+
+    A null, empty or wordless text has too few words and goes. Every row is judged for
+    itself, repeated rows and rows without an id too. Other columns pass through, whatever
+    their names; nulls in them play no part.
+    """
     return ledger(docs, keep=docs.columns).filter(verdict()).select("rest.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many sources carry; one of which nothing is left goes.
 
-    Copies of a document count for one source: the next stage keeps one of them.
+    Copies of a document count for one source: the next stage keeps one of them. A row
+    without a source counts for none and loses such lines too. Null, empty and wordless
+    texts go. Repeated rows and rows without an id are rows of their own. Other columns
+    pass through, whatever their names; n_chars, where there is one, follows the text.
     """
     out = _rewritten(remove_boilerplate(docs, carry=docs.columns, copies=False), docs)
     return out.filter(out.text.rlike(r"[^\x20\x09-\x0D]"))
@@ -50,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows count one by one, whatever ids they share; a row without an id comes after those
     that have one. A row that is repeated in all columns goes on once. Texts without words
-    link to nothing and stay.
+    link to nothing and stay. Other columns pass through, whatever their names.
     """
     row_key = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)).alias("row_key")  # null columns alone leave no trace in it
     found = jaccard_components(docs.select("doc_id", "text", row_key), row_col="row_key").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -65,13 +73,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated passages; one of which nothing is left goes."""
+    """Documents without repeated passages; one of which nothing is left goes.
+
+    Null, empty and wordless texts go. A row that is repeated, or a long text that two rows
+    have, is a repeated passage as a whole: near_duplicates has left one of each. Rows
+    without an id are rows of their own. Where something goes, the words left are joined by
+    one space, and n_chars, where there is one, follows. Other columns pass through,
+    whatever their names.
+    """
     out = _rewritten(remove_repeats(docs, carry=docs.columns), docs)
     return out.filter(out.text.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    """Pieces of token sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+
+    Null and empty texts are their end token. Repeated rows and rows without an id are packed
+    each for itself. Which rows share a sequence depends on the order in which the table's
+    partitions give them. Other columns play no part.
+    """
     return pack_texts(docs, tokenizer("word_bpe_49k.json"))
 
 

@@ -14,7 +14,7 @@ from .lines import remove_boilerplate
 from .lm import score_texts
 from .oracle import ORACLE_SQL
 from .packing import END_ID, SIZE, pack_texts
-from .quality import ledger, verdict
+from .quality import ablation, ledger, verdict
 from .substring import remove_repeats
 from .topk import top_k
 from .toxicity import classify
@@ -57,6 +57,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the current policy, how many documents fail it, and how many fail no other: a second reading of op6's ledger."""
+    return ablation(ledger(_documents(spark, sf_dir)))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -76,7 +81,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = (op1_toxicity, op2_lm_score, op3_packing, op4_jaccard_join, op5_substring_dedup, op6_quality_rules, op7_topk_search, op8_line_dedup, op9_token_counts, op10_bpe_codec)
+QUERIES = (op1_toxicity, op2_lm_score, op3_packing, op4_jaccard_join, op5_substring_dedup, op6_quality_rules, op7_topk_search, op8_line_dedup, op9_token_counts, op10_bpe_codec, quality_ablation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
