@@ -10,6 +10,10 @@ WS = r"[\s\x1c-\x1f]"
 NON_WS = r"[^\s\x1c-\x1f]"
 
 
+#: The same as characters: trimming them needs no pattern.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -29,15 +33,15 @@ def group(c: Column | str, pattern: str, n: int) -> Column:
 
 
 def lstrip(c: Column | str) -> Column:
-    return sub(c, f"^{WS}+", "")
+    return F.ltrim(col(c), F.lit(WHITE))
 
 
 def rstrip(c: Column | str) -> Column:
-    return sub(c, rf"(?<!{WS}){WS}+\z", "")
+    return F.rtrim(col(c), F.lit(WHITE))
 
 
 def strip(c: Column | str) -> Column:
-    return sub(c, rf"^{WS}+|(?<!{WS}){WS}+\z", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def is_blank(c: Column | str) -> Column:

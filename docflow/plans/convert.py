@@ -68,10 +68,14 @@ def clean(texts: DataFrame, options: Options) -> DataFrame:
     return out.join(first, "doc_id", "left").select("doc_id", "text", fixes.alias("fixes"))
 
 
+def scanned_files(pages: DataFrame) -> DataFrame:
+    """P8 on page rows: path, is_scanned."""
+    return layout.scanned(pages.filter("page_index >= 0"), "path").select("path", "is_scanned")
+
+
 def detect_scanned(files: DataFrame) -> DataFrame:
     """P8 on files: path, is_scanned of each PDF."""
-    pages = pdf.read_pages(files.filter(S.accepts_pdf("path"))).filter("page_index >= 0")
-    return layout.scanned(pages, "path").select("path", "is_scanned")
+    return scanned_files(pdf.read_pages(files.filter(S.accepts_pdf("path"))))
 
 
 def pdf_texts(pages: DataFrame, markers: bool) -> DataFrame:
@@ -89,17 +93,21 @@ def pdf_texts(pages: DataFrame, markers: bool) -> DataFrame:
 def convert_files(files: DataFrame, options: Options, registry: S.Registry | None = None, ocr: S.Convert | None = None) -> DataFrame:
     """path, text, error, route of each file. Every file is read and converted once: the rows are a written table."""
     registry = registry or S.Registry()
-    if ocr is not None and "is_scanned" not in files.columns:
-        files = files.join(written(detect_scanned(files), "scanned"), "path", "left")
+    told = "is_scanned" in files.columns
     own = registry.pick("x.pdf")
     if own is not None and own.priority <= 0:  # U1: a registered converter goes before the page operators
+        if ocr is not None and not told:
+            files = files.join(written(detect_scanned(files), "scanned"), "path", "left")
         return written(S.convert(files, registry, ocr), "converted")
-    scanned = F.coalesce(F.col("is_scanned"), F.lit(False)) if ocr is not None else F.lit(False)
-    laid_out = S.accepts_pdf("path") & ~scanned
-    pages = written(pdf.read_pages(files.filter(laid_out)), "pages")
-    texts = pdf_texts(pages, options.images != "none")
-    empty = pages.select("path").distinct()
-    without = files.filter(laid_out).select("path").join(empty, "path", "left_anti")  # PDFs without pages
+    is_pdf = S.accepts_pdf("path")
+    read = is_pdf & ~F.coalesce(F.col("is_scanned"), F.lit(False)) if ocr is not None and told else is_pdf
+    pages = written(pdf.read_pages(files.filter(read)), "pages")
+    if ocr is not None and not told:
+        files = files.join(written(scanned_files(pages), "scanned"), "path", "left")
+    laid_out = is_pdf & ~(F.coalesce(F.col("is_scanned"), F.lit(False)) if ocr is not None else F.lit(False))
+    paths = files.filter(laid_out).select("path")
+    texts = pdf_texts(pages.join(paths, "path", "left_semi"), options.images != "none")
+    without = paths.join(pages.select("path"), "path", "left_anti")  # PDFs without pages
     texts = texts.unionByName(without.select("path", F.lit("").alias("text"), F.lit(None).cast("string").alias("error"), F.lit("text").alias("route")))
     return written(texts.unionByName(S.convert(files.filter(~laid_out), registry, ocr)), "converted")
 

@@ -336,6 +336,9 @@ def made_files() -> dict[str, str]:
     cases = " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(formats))
     scanned = "doc_id % 5 = 0"
     return {
+        "html_made": f"""WITH {rows}, t AS (SELECT doc_id, i, {flat} AS t FROM ln)
+SELECT t.doc_id, '## ' || arg_min(t, i) FILTER (WHERE t <> '') || {_NN} || string_agg('- [' || t || '](/x)', chr(10) ORDER BY i) FILTER (WHERE t <> '') || {_NN} || '**' || any_value(source) || '** and *x*' || chr(10) || 'next' || {_NN}
+ || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | \\| |' || {_NN} || '```' || chr(10) || 'code  x' || chr(10) || '```' || {_NN} || '1. one' || chr(10) || '2. two' AS text FROM t JOIN documents d ON d.doc_id = t.doc_id GROUP BY t.doc_id""",
         "convert_formats": f"WITH {rows} SELECT doc_id, CASE doc_id % 14 {cases} END AS text, NULL::VARCHAR AS error FROM ln GROUP BY doc_id",
         "convert_routes": f"""SELECT doc_id, CASE WHEN {scanned} AND strlen(text) % 2 = 1 THEN '*[OCR failed: no model]*' WHEN {scanned} THEN strlen(text) || ' bytes read' WHEN doc_id % 3 = 0 AND strlen(text) <= 3000 THEN 'own: ' || text WHEN doc_id % 3 = 1 THEN text END AS text,
  CASE WHEN {scanned} AND strlen(text) % 2 = 1 THEN 'RuntimeError: no model' WHEN {scanned} THEN NULL WHEN doc_id % 3 = 0 AND strlen(text) > 3000 THEN 'ValueError: too long' WHEN doc_id % 3 = 2 THEN 'no converter accepts this file' END AS error,

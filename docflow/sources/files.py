@@ -188,7 +188,14 @@ class _Markdown(HTMLParser):
     def handle_data(self, data):
         if self.skip or (self.rows is not None and self.cell is None):
             return
-        self.put(data if self.pre else " ".join(data.split()).join((" " if data[:1].isspace() else "", " " if data[-1:].isspace() else "")) if data.strip() else (" " if data else ""))
+        if not self.pre:
+            edge = (" " if data[:1].isspace() else "", " " if data[-1:].isspace() and data.strip() else "")
+            data = " ".join(data.split()).join(edge)
+            held = self.out if self.cell is None else self.cell
+            if not held or held[-1][-1:].isspace():  # white space at the start of a block, or after other white space
+                data = data.lstrip()
+        if data:
+            self.put(data)
 
     def text(self) -> str:
         lines, blank, code = [], True, False
