@@ -73,6 +73,24 @@ def test_jaccard_at_the_threshold(spark):
     assert got[2] == 1 and got[4] == 3 and got[6] == 5 and got[7] == 7
 
 
+def test_groups_get_a_partition_each(spark):
+    for n in (1, 7, 64, 211):
+        keys = [(int(k), i) for i, k in enumerate(common.group_keys(n))]
+        found = spark.createDataFrame(keys, "k int, i int").repartition(n, "k").select("i", F.spark_partition_id().alias("p")).collect()
+        assert all(r.i == r.p for r in found)
+
+
+def test_minimizers_spread_over_the_buckets():
+    r = np.random.default_rng(2)
+    h, first = r.integers(0, 1 << 63, 60_000).astype(np.uint64), np.arange(0, 60_001, 600)
+    grams, _, best = substring.minimizers(h, first, 35, 20)
+    at = np.unique(best)
+    dealer = substring._Dealer(16)
+    rows = np.arange(100)[np.searchsorted(first, at, "right") - 1]
+    sizes = [len(x) for batch in [*dealer.add(grams[at], rows, at), *dealer.flush()] for x in batch.column(1).to_pylist()]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * sum(sizes) / 16
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(400, 470)]
