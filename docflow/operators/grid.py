@@ -67,20 +67,23 @@ def merge_zebra_rows(g: Column) -> Column:
 def merge_exclusive_columns(g: Column) -> Column:
     """Neighbouring columns never filled in one row become one, leftmost pair first, until none is left."""
 
-    def once(grid: Column) -> Column:
+    def once(state: Column) -> Column:
+        grid = state["grid"]
+
         def fits(i: Column) -> Column:
             a, b = F.filter(grid, lambda r: F.get(r, i) != ""), F.filter(grid, lambda r: F.get(r, i + 1) != "")
-            return (F.size(a) + F.size(b) >= 2) & ~F.exists(grid, lambda r: (F.get(r, i) != "") & (F.get(r, i + 1) != ""))
+            return ~F.exists(grid, lambda r: (F.get(r, i) != "") & (F.get(r, i + 1) != "")) & (F.size(a) + F.size(b) >= 2)
 
         first = F.get(F.filter(_upto(_width(grid) - 1), fits), F.lit(0))
 
         def merge(i: Column) -> Column:
             row = lambda r: F.concat(F.slice(r, F.lit(1), i), F.array(F.when(F.get(r, i) != "", F.get(r, i)).otherwise(F.get(r, i + 1))), F.slice(r, i + 3, F.size(r)))
-            return F.when(i.isNull(), grid).otherwise(F.transform(grid, row))
+            return F.struct(F.when(i.isNull(), grid).otherwise(F.transform(grid, row)).alias("grid"), i.isNull().alias("done"))
 
-        return _let(first, merge)
+        return F.when(state["done"], state).otherwise(_let(first, merge))
 
-    return F.aggregate(_upto(_width(g) - 1), g, lambda grid, _: once(grid))
+    start = F.struct(g.alias("grid"), F.lit(False).alias("done"))
+    return F.aggregate(_upto(_width(g) - 1), start, lambda state, _: once(state), lambda state: state["grid"])
 
 
 def looks_like_table(g: Column) -> Column:
