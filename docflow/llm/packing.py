@@ -127,7 +127,7 @@ class WordEncoder:
             letter = _ALNUM[before] | ((lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (size > 2))
             stop = ((tail == 46) | (tail == 44)) & (size > 1) & letter
             ends = ends - stop
-            h = K._hashes(lower, starts, ends, K._TABLE)
+            h = K.word_hashes(lower, starts, ends)
             keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
             first, count, flat = self._look_up(keys, starts[where], ends[where], lower.tobytes())
             n = count[inverse] + stop
