@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.functions.shared import spread
+
 # What each residue of (doc_id * 7 + i * 5) % 41 does to line i.
 DECORATION = """CASE (doc_id*7 + i*5) % 41
  WHEN 0 THEN '# ' || left(line,40)
@@ -46,13 +48,18 @@ SQL = f"""l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS li
 md_docs AS (SELECT doc_id, source, {FRONT_MATTER} || string_agg({DECORATION}, chr(10) ORDER BY i) AS text FROM l GROUP BY doc_id, source)"""
 
 
+#: Bytes of the documents table whose lines one task holds: they take some hundred times as much in the sorts of a chain of rules.
+LINES_BYTES = 2 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, text."""
-    documents(spark, sf_dir).createOrReplaceTempView("docflow_documents")
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    spread(docs, LINES_BYTES, "doc_id").createOrReplaceTempView("docflow_documents")  # lines, rules and texts stay where that puts them
     return spark.sql(f"""WITH l AS (SELECT doc_id, source, i, line FROM docflow_documents LATERAL VIEW posexplode(split(text, '\\n', -1)) p AS i, line)
       SELECT doc_id, source, {FRONT_MATTER} || listagg({DECORATION}, chr(10)) WITHIN GROUP (ORDER BY i) AS text FROM l GROUP BY doc_id, source""")
 
