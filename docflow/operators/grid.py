@@ -27,7 +27,13 @@ def _width(g: Column) -> Column:
 
 def cell(c: Column) -> Column:
     """Null to the empty string, line breaks to spaces, stripped, pipes escaped."""
-    return F.replace(T.strip(F.translate(F.coalesce(c.cast("string"), F.lit("")), "\r\n", "  ")), F.lit("|"), F.lit("\\|"))
+    s = c.cast("string")
+    bare = lambda x: (x >= "!") & (x < "\x7f") & F.right(x, F.lit(1)).between("!", "~")  # noqa: E731  # nothing to strip: most cells
+    fully = lambda x: F.when(bare(x), x).otherwise(T.strip(x))
+    out = F.when(bare(s), s).when(s != "", _let(F.btrim(s, F.lit(" \t\r\n")), fully)).otherwise("")
+    for old, new in (("\r", " "), ("\n", " "), ("|", "\\|")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
 
 
 def normalise(g: Column) -> Column:
@@ -42,21 +48,28 @@ def drop_empty_rows(g: Column) -> Column:
 
 def drop_empty_columns(g: Column) -> Column:
     """T4."""
-    return _let(F.filter(_upto(_width(g)), lambda i: F.exists(g, lambda r: F.get(r, i) != "")), lambda keep: F.transform(g, lambda r: F.transform(keep, lambda i: F.get(r, i))))
+
+    def kept(width: Column) -> Column:
+        filled = F.filter(_upto(width), lambda i: F.exists(g, lambda r: F.get(r, i) != ""))
+        return _let(filled, lambda keep: F.when(F.size(keep) == width, g).otherwise(F.transform(g, lambda r: F.transform(keep, lambda i: F.get(r, i)))))
+
+    return _let(_width(g), kept)
 
 
 def merge_zebra_rows(g: Column) -> Column:
     """T5: where rows come in complementary pairs, each pair becomes one row; the left cell wins."""
 
     def pairs(starts: Column) -> Column:
-        def tell(i: Column) -> Column:
+        def tell(i: Column) -> Column:  # 2: the pair is complementary, 1: it is not, 0: one of it is empty
             a, b = F.get(g, i), F.get(g, i + 1)
-            both = F.zip_with(a, b, lambda x, y: ((x != "").cast("int") + (y != "").cast("int")))
+            both = F.exists(F.zip_with(a, b, lambda x, y: (x != "") & (y != "")), lambda x: x)
             filled = F.exists(a, lambda x: x != "") & F.exists(b, lambda x: x != "")
-            return F.struct(filled.alias("counted"), (filled & ~F.exists(both, lambda n: n == 2)).alias("fits"))
+            return F.when(filled, F.when(both, 1).otherwise(2)).otherwise(0)
 
-        told = F.transform(F.filter(starts, lambda i: i + 1 < F.size(g)), tell)
-        counted, fits = F.size(F.filter(told, lambda t: t["counted"])), F.size(F.filter(told, lambda t: t["fits"]))
+        return _let(F.transform(F.filter(starts, lambda i: i + 1 < F.size(g)), tell), lambda told: judged(starts, told))
+
+    def judged(starts: Column, told: Column) -> Column:
+        counted, fits = F.size(F.filter(told, lambda t: t > 0)), F.size(F.filter(told, lambda t: t == 2))
         merged = F.transform(starts, lambda i: F.when(i + 1 < F.size(g), F.zip_with(F.get(g, i), F.get(g, i + 1), lambda x, y: F.when(x != "", x).otherwise(y))).otherwise(F.get(g, i)))
         return F.when((counted >= ZEBRA_PAIRS) & (fits >= counted * ZEBRA_SHARE), merged).otherwise(g)
 
@@ -65,24 +78,30 @@ def merge_zebra_rows(g: Column) -> Column:
 
 
 def merge_exclusive_columns(g: Column) -> Column:
-    """Neighbouring columns never filled in one row become one, leftmost pair first, until none is left."""
+    """Neighbouring columns never filled in one row become one, leftmost pair first, until none is left.
+
+    A pair left of a merged one does not change, unless it is next to it: the search goes on from there.
+    """
 
     def once(state: Column) -> Column:
         grid = state["grid"]
 
         def fits(i: Column) -> Column:
-            a, b = F.filter(grid, lambda r: F.get(r, i) != ""), F.filter(grid, lambda r: F.get(r, i + 1) != "")
-            return ~F.exists(grid, lambda r: (F.get(r, i) != "") & (F.get(r, i + 1) != "")) & (F.size(a) + F.size(b) >= 2)
+            a, b = lambda r: F.get(r, i) != "", lambda r: F.get(r, i + 1) != ""
+            two = (F.exists(grid, a) & F.exists(grid, b)) | (F.size(F.filter(grid, lambda r: a(r) | b(r))) >= 2)
+            return ~F.exists(grid, lambda r: a(r) & b(r)) & two
 
-        first = F.get(F.filter(_upto(_width(grid) - 1), fits), F.lit(0))
+        pairs = F.filter(_upto(_width(grid) - 1), lambda i: i >= state["at"])
+        first = F.aggregate(pairs, F.lit(None).cast("int"), lambda found, i: F.coalesce(found, F.when(fits(i), i)))
 
         def merge(i: Column) -> Column:
-            row = lambda r: F.concat(F.slice(r, F.lit(1), i), F.array(F.when(F.get(r, i) != "", F.get(r, i)).otherwise(F.get(r, i + 1))), F.slice(r, i + 3, F.size(r)))
-            return F.struct(F.when(i.isNull(), grid).otherwise(F.transform(grid, row)).alias("grid"), i.isNull().alias("done"))
+            row = lambda r: F.filter(F.transform(r, lambda c, j: F.when((j != i) | (c != ""), c).otherwise(F.get(r, i + 1))), lambda c, j: j != i + 1)
+            merged = F.when(i.isNull(), grid).otherwise(F.transform(grid, row))
+            return F.struct(merged.alias("grid"), F.greatest(i - 1, F.lit(0)).alias("at"), i.isNull().alias("done"))
 
         return F.when(state["done"], state).otherwise(_let(first, merge))
 
-    start = F.struct(g.alias("grid"), F.lit(False).alias("done"))
+    start = F.struct(g.alias("grid"), F.lit(0).alias("at"), F.lit(False).alias("done"))
     return F.aggregate(_upto(_width(g) - 1), start, lambda state, _: once(state), lambda state: state["grid"])
 
 

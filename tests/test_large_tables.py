@@ -1,10 +1,14 @@
 """What larger tables rest on: rows that travel without their payloads, tables without a step per row and column."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from docflow.functions.text import WHITE
+from docflow.operators import grid
 from docflow.operators import media as M
+from docflow.plans import catalogue
 
 MEDIA = "doc_id long, ord int, entry_name string, content binary, ext string"
 
@@ -38,3 +42,39 @@ def test_images_without_a_name_stay(spark):
     texts, files = M.inline_to_files(docs, spark.createDataFrame([], MEDIA))
     assert {r.doc_id: r.text for r in texts.collect()} == {1: docs.first().text, 2: "(images/d_image1.png)(images/d_image1.png)"}
     assert [(r.doc_id, r.name, bytes(r.content)) for r in files.collect()] == [(2, "d_image1.png", b"img")]
+
+
+def _exclusive(grid):
+    """T6, pair by pair from the left, each time from the start."""
+    i = 0
+    while grid and i + 1 < len(grid[0]):
+        a, b = [r[i] for r in grid], [r[i + 1] for r in grid]
+        if not any(x and y for x, y in zip(a, b, strict=True)) and sum(map(bool, a + b)) >= 2:
+            grid = [[*r[:i], r[i] or r[i + 1], *r[i + 2 :]] for r in grid]
+            i = 0
+        else:
+            i += 1
+    return grid
+
+
+def test_exclusive_columns_as_told(spark):
+    rng = random.Random(5)
+    shapes = [(rng.randint(0, 5), rng.randint(1, 7), rng.choice([0.1, 0.3, 0.6])) for _ in range(300)]
+    grids = [[[f"{i}{j}" if rng.random() < p else "" for j in range(w)] for i in range(n)] for n, w, p in shapes]
+    df = spark.createDataFrame(list(enumerate(grids)), "i int, g array<array<string>>")
+    for r in df.select("g", grid.merge_exclusive_columns(F.col("g")).alias("m")).collect():
+        assert r.m == _exclusive(r.g), r.g
+
+
+def test_cells_of_all_kinds(spark):
+    cells = [None, "", " ", "a", " a\n|\r", "   a   ", " \n", "é", " é\u0085", "a\r\nb", "|", "\x1fa\x1f\t", "a\x7f", "\x7f", "　a", "😀 ", "~", "!"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(cells)), "i int, c string").orderBy("i").select(grid.cell(F.col("c"))).collect()]
+    assert got == [(c or "").translate({10: " ", 13: " "}).strip(WHITE).replace("|", "\\|") for c in cells]
+
+
+def test_grids_without_slices(spark, sf_dir):
+    """A cell is looked up among the words: slices of them were copied for each cell; complementary pairs are told once."""
+    for query in (catalogue.table_exclusive, catalogue.table_zebra, catalogue.table_clean):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(text") == 1 and "translate(" not in plan
+        assert plan.count("slice(") <= (4 if query is catalogue.table_clean else 3), plan.count("slice(")
