@@ -78,3 +78,9 @@ def test_grids_without_slices(spark, sf_dir):
         plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("split(text") == 1 and "translate(" not in plan
         assert plan.count("slice(") <= (4 if query is catalogue.table_clean else 3), plan.count("slice(")
+
+
+def test_rows_of_four_are_not_joined(spark, sf_dir):
+    """A full row is one array; only the last, short one is cut."""
+    plan = catalogue.table_clean(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(array(" not in plan
